@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,13 @@ from tessera.llm import texts
 from tessera.llm.components import connected_components
 from tessera.llm.shared import free_names, stage
 
-#: Two sets at similarity 0.8 miss each other in all bands with a chance of (1 - 0.8^BAND_ROWS)^BANDS, about 3e-6.
-BANDS, BAND_ROWS = 32, 5
+#: Two sets at similarity 0.8 miss each other in all bands with a chance of (1 - 0.8^BAND_ROWS)^BANDS, about 8e-6; at 0.85 it is 1e-9.
+BANDS, BAND_ROWS = 64, 8
 BINS = BANDS * BAND_ROWS
 #: Centers per bucket differ between this many groups of bands.
-CENTERS = 4
+CENTERS = 16
+#: Classes of a block that is compared in one task.
+BLOCK = 512
 U = np.uint64
 _VALUE_BITS = U(48)
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -88,6 +91,27 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(texts.signed(key)))], names=["class", "shingles"])
 
 
+def _close_pairs(held: pd.DataFrame, asking: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Similar enough pairs of a block of held and a block of asking classes: one count over the shingles that both have."""
+    none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
+    if held.empty or asking.empty:
+        return none
+    sizes = np.array([len(x) for x in held["shingles"]])
+    flat, owner = np.concatenate(held["shingles"].tolist()), np.repeat(np.arange(len(held)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner, ids = flat[order], owner[order], held["class"].to_numpy()
+    found = []
+    for x, own in zip(asking["x"].tolist(), asking["of_x"].tolist(), strict=True):
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        width = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        common = np.bincount(owner[at], minlength=len(held))
+        near = ids[(common * 100 >= (sizes + len(own) - common) * percent) & (ids != x)]
+        found.append(np.column_stack([np.minimum(near, x), np.maximum(near, x)]))
+    links = np.concatenate(found)
+    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+
 def _copy_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -109,13 +133,15 @@ class NearDuplicates:
         """Sizes that allow the similarity asked for."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) of classes whose full sets are similar enough. pairs is a staged table."""
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        ones = self.classes.join(wanted, "class").select("class", F.col("one.doc_id").alias("id"), F.col("one.copy").alias("key"))
-        found = self.docs.join(stage(ones, "wanted"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("key"))).select("class", "text")
+    def _sets_of(self, wanted: DataFrame) -> DataFrame:
+        """class and all shingles of some classes, from the text of one row of each. The only pass in which text is shuffled."""
+        ones = stage(self.classes.join(wanted, "class").select("class", F.col("one.doc_id").alias("id"), F.col("one.copy").alias("key")), "wanted")
+        found = self.docs.join(ones, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("key"))).select("class", "text")
         width = self.width
-        sets = stage(found.mapInArrow(lambda it: _sets(it, width), "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+        return stage(found.mapInArrow(lambda it: _sets(it, width), "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs (a, b) of classes whose full sets are similar enough."""
         both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
         common = F.size(F.array_intersect("of_a", "of_b"))
         enough = common * 100 >= (F.size("of_a") + F.size("of_b") - common) * self.percent
@@ -124,23 +150,48 @@ class NearDuplicates:
     def _linked(self) -> DataFrame:
         """class and label of every class with a link."""
         members = self.classes.select("class", "n", F.posexplode("bands").alias("place", "band")).withColumn("place", (F.col("place") % CENTERS).cast("int"))
+        # Most bands occur once: they go before anything else is carried along
+        shared_bands = members.groupBy("band").agg(F.count("*").alias("in")).where("in > 1").select("band")
+        shared = stage(members.join(shared_bands, "band", "left_semi"), "shared")
+        sets = self._sets_of(shared.select("class").distinct())
         prior = F.struct(F.xxhash64("class", "place").alias("p"), F.col("class").alias("center"), F.col("n").alias("size"))
-        buckets = members.groupBy("band").agg(F.count("*").alias("in"), F.min(prior).alias("first")).where("in > 1")
-        shared = stage(members.join(buckets, "band").select("band", "class", "n", F.col("first.center").alias("center"), F.col("first.size").alias("size")), "buckets")
-        near = shared.where((F.col("class") != F.col("center")) & self._close(F.col("n"), F.col("size")))
+        centers = shared.groupBy("band").agg(F.min(prior).alias("first")).select("band", "first.center", "first.size")
+        near = shared.join(centers, "band").where((F.col("class") != F.col("center")) & self._close(F.col("n"), F.col("size")))
         stars = stage(near.select(F.least("class", "center").alias("a"), F.greatest("class", "center").alias("b")).distinct(), "stars")
-        links = self._verified(stars)
+        links = self._verified(stars, sets)
         labels = connected_components(links)
-        # Buckets in which several groups are left: each group against the others
+        # Buckets in which several groups are left
         of = stage(shared.join(labels.toDF("class", "label"), "class", "left").select("band", "class", "n", F.coalesce("label", "class").alias("group")), "groups")
         several = of.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band")
-        open_ = stage(of.join(several, "band"), "open")
-        groups = open_.select("band", "group").distinct()
-        group_pairs = groups.toDF("band", "ga").join(groups.toDF("band", "gb"), "band").where("ga < gb")
-        rest = group_pairs.join(open_.toDF("band", "a", "na", "ga"), ["band", "ga"]).join(open_.toDF("band", "b", "nb", "gb"), ["band", "gb"]).where(self._close(F.col("na"), F.col("nb")))
-        cross = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stage(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-        return labels if more.isEmpty() else connected_components(links.union(self._verified(more)))
+        left = stage(of.join(several, "band"), "left")
+        more = self._across(left, sets, stars)
+        return labels if more.isEmpty() else connected_components(links.union(more))
+
+    def _across(self, left: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+        """Links (a, b) between classes from different groups of a bucket. left: band, class, n, group.
+
+        Of two groups the smaller one's classes ask. A class next to a group of one is a pair; next to a larger group it is
+        compared with the group's blocks, where one pass over its shingles counts what it shares with every member.
+        """
+        sized = left.groupBy("band", "group").agg(F.count("*").alias("size"))
+        two = sized.toDF("band", "ga", "sa").join(sized.toDF("band", "gb", "sb"), "band").where("ga < gb")
+        smaller = F.col("sa") <= F.col("sb")
+        asked = two.select("band", F.when(smaller, F.col("ga")).otherwise(F.col("gb")).alias("few"), F.when(smaller, F.col("gb")).otherwise(F.col("ga")).alias("many"))
+        asks = asked.join(left.select("band", F.col("class").alias("x"), F.col("group").alias("few")), ["band", "few"]).select("x", "many").distinct()
+        inside = stage(left.select("group", "class").distinct(), "inside")
+        members = inside.groupBy("group").agg(F.count("*").alias("members"), F.min("class").alias("only")).toDF("many", "members", "only")
+        asks = stage(asks.join(members, "many"), "asks")
+        pairs = asks.where("members = 1").select(F.least("x", "only").alias("a"), F.greatest("x", "only").alias("b")).distinct()
+        single = self._verified(stage(pairs.join(tried, ["a", "b"], "left_anti"), "cross"), sets)
+        askers = asks.where("members > 1").groupBy(F.col("many").alias("group"), "members").agg(F.count("*").alias("askers"))
+        shape = askers.select("group", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("askers") / BLOCK).alias("columns"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+        held = inside.join(shape, "group").select("group", dealt("class", "rows").alias("row"), every("columns").alias("column"), "class").join(sets, "class")
+        wanted = asks.where("members > 1").select(F.col("many").alias("group"), "x").join(shape, "group").select("group", every("rows").alias("row"), dealt("x", "columns").alias("column"), "x").join(sets.toDF("x", "of_x"), "x")
+        wanted, percent = wanted.toDF("x", "g", "r", "c", "of_x"), self.percent
+        across = held.groupBy("group", "row", "column").cogroup(wanted.groupBy("g", "r", "c")).applyInPandas(lambda a, b: _close_pairs(a, b, percent), "a long, b long")
+        return stage(single.union(across), "more")
 
     def members(self) -> DataFrame:
         """doc_id, copy, n_shingles, label (null without words) and component_id for every row."""
