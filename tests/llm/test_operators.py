@@ -1,0 +1,216 @@
+"""Operators on odd inputs and against brute force on small tables."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import host_rules, kmeans_tree, mixing, near_dup, packing, quality_rff, secret_scan, sharding, suffix_tree, url_cascade
+from tessera.llm.components import connected_components
+from tessera.llm.queries import QUERIES, VOCABULARY
+
+SF = "/root/testdata/sf0.001"
+OPERATORS = {
+    "shard": sharding.shard_documents, "lm": suffix_tree.score_documents, "mix": mixing.mix_documents, "near": near_dup.link_documents, "rules": host_rules.judge_documents,
+    "secrets": secret_scan.scan_documents, "pack": lambda d: packing.pack_documents(d, VOCABULARY), "quality": lambda d: quality_rff.score_quality(d, d.select("doc_id", F.lit(1).alias("quality"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_inputs(name, odd_documents, no_documents):
+    rows = OPERATORS[name](odd_documents).collect()
+    assert len({(r["doc_id"]) for r in rows}) == 8 and len(rows) >= odd_documents.count()
+    assert OPERATORS[name](no_documents).count() == 0
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_inputs(name, step, spark, odd_documents, no_documents):
+    out = step(spark, odd_documents, SF)
+    assert step(spark, no_documents, SF).count() == 0
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == odd_documents.columns and out.count() > 0
+    if name == "near_dedup":
+        assert sorted(r["doc_id"] or 0 for r in out.where("doc_id = 1 or doc_id = 2").collect()) == [1]
+    if name == "secret_scans":
+        assert out.count() == odd_documents.count() and "abcdef123" not in "".join(r["text"] or "" for r in out.collect())
+
+
+def test_sharding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sharding.shard_documents(docs, 4).collect()
+    by_text, slots, loads = defaultdict(set), defaultdict(list), Counter()
+    for r in rows:
+        by_text[r["text_crc32"]].add(r["shard"]), slots[r["shard"]].append(r["slot"])
+        loads[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) - min(loads.values()) < 0.01 * max(loads.values())
+
+
+def test_url_cascade_is_exact(spark):
+    hosts = [f"h{k}.test" for k in range(3000)]
+    pages = spark.createDataFrame([(k, f"HTTP://{h.upper()}/a?b") for k, h in enumerate(hosts)] + [(-1, None), (-2, "no scheme"), (-3, "x://")], "page_id long, url string")
+    blocked = set(hosts[::7]) | {"elsewhere.test"}
+    got = {r["page_id"]: r for r in url_cascade.judge_urls(pages, [("allow", "h7.test/a")], sorted(blocked)).collect()}
+    assert all((got[k]["verdict"] == "block") == (h in blocked and h != "h7.test") for k, h in enumerate(hosts))
+    assert [(got[k]["host"], got[k]["path"], got[k]["verdict"]) for k in (-1, -2, -3)] == [("", "", "allow")] * 3
+    assert url_cascade.judge_urls(pages, [], []).where("verdict = 'block'").count() == 0
+
+
+def tokens(text):
+    text = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return [*re.findall(r"[^\x20\x09-\x0D]+", text), ""]
+
+
+def brute_tree(train, depth, shares, divergence):
+    """Contexts, next words and smoothing over plain tuples."""
+    counts, n = Counter(w for t in train for w in t), sum(map(len, train))
+    vocabulary = len(counts)
+    base = lambda w: (counts[w] + 0.5) / (n + 0.5 * (vocabulary + 1))
+    of_context, of_next, of_word = (max(k, int(s * n)) for s, k in zip(shares, (suffix_tree.LEAST_CONTEXT, suffix_tree.LEAST_NEXT, 1), strict=True))
+    after = defaultdict(Counter)
+    for t in train:
+        for k in range(len(t)):
+            for d in range(1, min(depth, k) + 1):
+                after[tuple(t[k - d : k])][t[k]] += 1
+    often = lambda s: sum(1 for _ in ()) or (counts[s[0]] if len(s) == 1 else after[s[:-1]][s[-1]])
+    contexts = {s for s in after if all(counts[w] >= of_word for w in s) and often(s) >= of_context and all(often(s[:k]) >= of_context for k in range(1, len(s)))}
+    next_words = {s: {w: c for w, c in after[s].items() if c >= of_next and counts[w] >= max(of_next, of_word)} for s in contexts}
+    total = {s: sum(after[s].values()) for s in contexts}
+    kept = set()
+    for s in contexts:
+        below = (lambda w: counts[w] / n) if len(s) == 1 else (lambda w, s=s: after[s[1:]][w] / total[s[1:]])
+        p = {w: c / total[s] for w, c in next_words[s].items()}
+        rest_p, rest_q = 1 - sum(p.values()), max(1e-12, 1 - sum(below(w) for w in p))
+        kl = sum(x * math.log(x / below(w)) for w, x in p.items()) + (rest_p * math.log(rest_p / rest_q) if rest_p > 1e-12 else 0)
+        if kl >= divergence:
+            kept |= {s[k:] for k in range(len(s))}
+
+    def probability(w, s):
+        if not s:
+            return base(w)
+        kinds, mine = len(next_words[s]), next_words[s].get(w, 0)
+        rest = total[s] - sum(next_words[s].values())
+        return (mine + (rest + kinds) * probability(w, s[1:])) / (total[s] + kinds)
+
+    def score(t):
+        out = 0.0
+        for k, w in enumerate(t):
+            s = next((tuple(t[k - d : k]) for d in range(min(depth, k), 0, -1) if tuple(t[k - d : k]) in kept), ())
+            out += math.log10(probability(w, s))
+        return out
+
+    return base, score, kept
+
+
+def test_suffix_tree_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_tree.score_documents(docs).collect()}
+    rows = {r["doc_id"]: tokens(r["text"]) for r in docs.collect()}
+    train = [t for d, t in rows.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    base, score, kept = brute_tree(train, suffix_tree.DEPTH, (suffix_tree.CONTEXT_SHARE, suffix_tree.NEXT_SHARE, suffix_tree.WORD_SHARE), suffix_tree.DIVERGENCE)
+    assert any(len(s) == 2 for s in kept)
+    for d, t in rows.items():
+        assert got[d]["n_tokens"] == len(t)
+        assert got[d]["base_score"] == pytest.approx(sum(math.log10(base(w)) for w in t), abs=1e-6)
+        assert got[d]["score"] == pytest.approx(score(t), abs=1e-5)
+
+
+def test_nearest_recall_and_ties(spark):
+    dice = np.random.default_rng(4)
+    x = np.vstack([dice.normal(size=(2500, 16)), np.repeat(dice.normal(size=(1, 16)), 300, axis=0)]) * dice.uniform(0.5, 2, (2800, 1)).round(1)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5001, None), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (None, x[0].tolist()), (5005, [None] * 16), (5006, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, wanted = 0, 0
+    got = defaultdict(list)
+    for r in kmeans_tree.nearest(vectors).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 2800, 20))
+    for q, hits in got.items():
+        exact = sorted(((-float(x[q] @ x[k]), k) for k in range(2800) if k != q))[:20]
+        found, wanted = found + len({k for _, k in exact} & {h[1] for h in hits}), wanted + 20
+        assert [h[0] for h in sorted(hits)] == list(range(1, 21)) and all(h[2] == pytest.approx(float(x[q] @ x[h[1]])) for h in hits)
+    assert found / wanted >= 0.9
+    assert kmeans_tree.nearest(vectors.limit(0)).count() == 0
+
+
+def test_mix_takes_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mix = mixing.Mix(docs)
+    taken = mix.taken_words().join(docs, "doc_id")
+    for r in taken.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
+        assert abs(r["t"] - r["g"]) <= 0.01 * r["g"] + 2 and r["over"] <= 0
+    mixed = mix.documents(docs).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("w"))
+    assert taken.join(mixed, "doc_id", "left").where(F.coalesce("w", F.lit(0)) != F.col("taken")).count() == 0
+    assert sorted(map(tuple, mix.taken_words().collect())) == sorted(map(tuple, mixing.mix_documents(docs.repartition(3)).collect()))
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_match_brute_force(spark, width):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {}
+    for r in docs.collect():
+        w = tokens(r["text"])[:-1]
+        rows[r["doc_id"]] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    root = {d: d for d in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in rows:
+        for b in rows:
+            if a < b and rows[a] and 100 * len(rows[a] & rows[b]) >= 80 * len(rows[a] | rows[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.link_documents(docs, width).collect()}
+    assert got == {d: (len(s), find(d)) for d, s in rows.items()}
+    kept = [r["doc_id"] for r in near_dup.drop_near_duplicates(docs, width).select("doc_id").collect()]
+    assert sorted(kept) == sorted(d for d in rows if find(d) == d)
+
+
+def test_block_comparison_links_what_pairs_do():
+    import pandas as pd
+
+    dice = np.random.default_rng(1)
+    base = dice.integers(0, 400, 60)
+    sets = [np.unique(np.where(dice.uniform(size=60) < 0.1, dice.integers(0, 10**6, 60), base)) for _ in range(40)]
+    held, asking = pd.DataFrame({"class": range(20), "shingles": sets[:20]}), pd.DataFrame({"x": range(20, 40), "of_x": sets[20:]})
+    got = {tuple(r) for r in near_dup._close_pairs(held, asking, 80).to_numpy().tolist()}
+    assert got == {(a, b) for a in range(20) for b in range(20, 40) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 60) if k % 7] + [(100, k) for k in range(101, 140)] + [(5, 5)]
+    labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({labels[k] for k in range(100, 140)}) == 1 and labels[1] == labels[7] != labels[8]
+
+
+def test_quality_is_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_rff.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+
+
+def test_pack_covers_every_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(docs, VOCABULARY).collect():
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"])), sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in pieces.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(len(own))) and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 1024
+
+
+def test_queries_and_pipeline_run(spark):
+    assert len(QUERIES) == 10
+    assert corpus_pipeline.run(spark, SF).count() > 0
