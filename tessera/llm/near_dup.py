@@ -7,8 +7,9 @@ number of agreeing coordinates concentrates as for independent samples. A text o
 n + BINS log BINS steps instead of n * BINS.
 
 Texts with equal sets are one class. Classes that share a band are candidates. They are verified in two steps, so that a
-group of thousands of near copies costs no more than a few links each: first every class against a few centers of its buckets;
-then, inside buckets, only classes that are not yet connected, against each other.
+group of thousands of near copies costs no more than a few links each: first every class against the centers of its buckets,
+which one hash of classes chooses, so that the buckets of a group mostly have the same few; then, inside buckets, only
+classes that are not yet connected and whose sizes allow it, against each other.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from tessera.llm.shared import free_names, stage
 #: Two sets at similarity 0.8 miss each other in all bands with a chance of (1 - 0.8^BAND_ROWS)^BANDS, about 8e-6; at 0.85 it is 1e-9.
 BANDS, BAND_ROWS = 64, 8
 BINS = BANDS * BAND_ROWS
-#: Centers per bucket differ between this many groups of bands.
-CENTERS = 16
 #: Classes of a block that is compared in one task.
 BLOCK = 512
 U = np.uint64
@@ -149,12 +148,12 @@ class NearDuplicates:
 
     def _linked(self) -> DataFrame:
         """class and label of every class with a link."""
-        members = self.classes.select("class", "n", F.posexplode("bands").alias("place", "band")).withColumn("place", (F.col("place") % CENTERS).cast("int"))
+        members = self.classes.select("class", "n", F.explode("bands").alias("band"))
         # Most bands occur once: they go before anything else is carried along
         shared_bands = members.groupBy("band").agg(F.count("*").alias("in")).where("in > 1").select("band")
         shared = stage(members.join(shared_bands, "band", "left_semi"), "shared")
         sets = self._sets_of(shared.select("class").distinct())
-        prior = F.struct(F.xxhash64("class", "place").alias("p"), F.col("class").alias("center"), F.col("n").alias("size"))
+        prior = F.struct(F.xxhash64("class").alias("p"), F.col("class").alias("center"), F.col("n").alias("size"))
         centers = shared.groupBy("band").agg(F.min(prior).alias("first")).select("band", "first.center", "first.size")
         near = shared.join(centers, "band").where((F.col("class") != F.col("center")) & self._close(F.col("n"), F.col("size")))
         stars = stage(near.select(F.least("class", "center").alias("a"), F.greatest("class", "center").alias("b")).distinct(), "stars")
@@ -173,8 +172,9 @@ class NearDuplicates:
         Of two groups the smaller one's classes ask. A class next to a group of one is a pair; next to a larger group it is
         compared with the group's blocks, where one pass over its shingles counts what it shares with every member.
         """
-        sized = left.groupBy("band", "group").agg(F.count("*").alias("size"))
-        two = sized.toDF("band", "ga", "sa").join(sized.toDF("band", "gb", "sb"), "band").where("ga < gb")
+        sized = left.groupBy("band", "group").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+        possible = (F.col("ha") * 100 >= F.col("lb") * self.percent) & (F.col("hb") * 100 >= F.col("la") * self.percent)
+        two = sized.toDF("band", "ga", "sa", "la", "ha").join(sized.toDF("band", "gb", "sb", "lb", "hb"), "band").where((F.col("ga") < F.col("gb")) & possible)
         smaller = F.col("sa") <= F.col("sb")
         asked = two.select("band", F.when(smaller, F.col("ga")).otherwise(F.col("gb")).alias("few"), F.when(smaller, F.col("gb")).otherwise(F.col("ga")).alias("many"))
         asks = asked.join(left.select("band", F.col("class").alias("x"), F.col("group").alias("few")), ["band", "few"]).select("x", "many").distinct()
