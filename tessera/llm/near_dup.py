@@ -135,6 +135,7 @@ class NearDuplicates:
     def _sets_of(self, wanted: DataFrame) -> DataFrame:
         """class and all shingles of some classes, from the text of one row of each. The only pass in which text is shuffled."""
         ones = stage(self.classes.join(wanted, "class").select("class", F.col("one.doc_id").alias("id"), F.col("one.copy").alias("key")), "wanted")
+        ones = ones.hint("merge")  # it grows with the corpus: never broadcast, at no size
         found = self.docs.join(ones, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("key"))).select("class", "text")
         width = self.width
         return stage(found.mapInArrow(lambda it: _sets(it, width), "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
