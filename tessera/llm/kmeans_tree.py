@@ -3,7 +3,9 @@
 The tree is fitted on a bounded sample; every vector is then put into a leaf. A query takes leaves off a priority queue,
 nearest center first, and visits as many as the calibration asks for: exact neighbours of some queries, found by brute force over
 all vectors, tell how many visits reach the recall wanted. Leaves are split into cells of bounded size; a task holds one
-cell and streams the queries that visit it, so neither vectors nor queries of a leaf need fit into memory.
+cell and streams the queries that visit it, so neither vectors nor queries of a leaf need fit into memory. Every query visits
+its first leaves in one round; in a second round, each further leaf only sends what is as good as the k-th hit so far, so
+hits don't multiply with visits.
 
 Largest inner products are nearest neighbours after one more coordinate, sqrt(M^2 - |x|^2) for vectors (M: the largest
 norm) and 0 for queries; the tree lives in that space, scores are inner products of the original vectors.
@@ -28,6 +30,8 @@ SAMPLE, PROBES = 16_384, 256
 BRANCHES, ROUNDS = 8, 8
 LEAF_ROWS, MOST_LEAVES = 1000, 1024
 CELL_ROWS = 4096
+#: Leaves of the first round of a search; later leaves only send what beats its k-th score.
+FIRST_VISITS = 4
 RECALL = 0.97
 #: Rounding of a matrix product, relative to the norms; candidates this close to the last place are scored again one by one.
 SLACK = 1e-9
@@ -208,6 +212,17 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
         """query_id, rank, vec_id and score of the k best vectors in the leaves that each query visits."""
+        columns = ("query_id", "rank", "vec_id", "score")
+        found = top(self._answers(queries.withColumn("floor", F.lit(float("-inf"))), k, 0, min(visits, FIRST_VISITS)), k)
+        if visits <= FIRST_VISITS:
+            return found.select(*columns)
+        found = stage(found, "first-hits")
+        floors = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        asking = queries.join(floors, "query_id", "left").fillna(float("-inf"), ["floor"])
+        return top(found.drop("rank").unionByName(self._answers(asking, k, FIRST_VISITS, visits)), k).select(*columns)
+
+    def _answers(self, queries: DataFrame, k: int, skip: int, visits: int) -> DataFrame:
+        """Hits of queries (query_id, vec, floor) in the leaves that each visits from place `skip` up to `visits`: k of a cell at most, none below its floor."""
         tree, dim = self.tree, self.dim
         sizes = self.placed.groupBy("leaf").agg(F.count("*").alias("n"))
         cells = np.ones(tree.leaves, dtype=np.int64)
@@ -219,25 +234,25 @@ class Index:
             for batch in batches:
                 vectors, rows, cell = matrix(batch.column(1), dim), [], []
                 for n, vector in enumerate(np.hstack([vectors, np.zeros((len(vectors), 1))])):
-                    own = np.concatenate([np.arange(first[leaf], first[leaf + 1]) for leaf in tree.visits(vector, visits)])
+                    own = np.concatenate([np.arange(first[leaf], first[leaf + 1]) for leaf in tree.visits(vector, visits)[skip:]])
                     rows.append(np.full(len(own), n)), cell.append(own)
                     if sum(map(len, rows)) > 20_000 or n + 1 == len(vectors):
                         at = pa.array(np.concatenate(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.ones(len(at), dtype=np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "asks", "id", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.ones(len(at), dtype=np.int32)), *(batch.column(c).take(at) for c in range(3))], names=["cell", "asks", "id", "vec", "floor"])
                         rows, cell = [], []
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, leaf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 part = (texts_mix(ids) % cells[leaf].astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + part), pa.array(np.zeros(len(ids), dtype=np.int32)), batch.column(0), batch.column(2)], names=["cell", "asks", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + part), pa.array(np.zeros(len(ids), dtype=np.int32)), batch.column(0), batch.column(2), pa.array(np.zeros(len(ids)))], names=["cell", "asks", "id", "vec", "floor"])
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows come by cell, a cell's vectors before the queries that visit it."""
             now, ids, vectors = -1, [], []
             for batch in batches:
                 cell, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                id_, vec = batch.column(2).to_numpy(), matrix(batch.column(3), dim)
+                id_, vec, floor = batch.column(2).to_numpy(), matrix(batch.column(3), dim), batch.column(4).to_numpy()
                 edges = np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
                 for s, e in zip([0, *edges], [*edges, len(cell)], strict=True):
                     if s == e:
@@ -250,12 +265,13 @@ class Index:
                         ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
                         for at in range(s, e, 256):
                             to = min(e, at + 256)
-                            yield _hits(id_[at:to], best(vec[at:to], id_[at:to], vectors[0], ids[0], k), ids[0], np.zeros(len(ids[0])))
+                            q, r, score = best(vec[at:to], id_[at:to], vectors[0], ids[0], k)
+                            good = score >= floor[at:to][q]
+                            yield _hits(id_[at:to], (q[good], r[good], score[good]), ids[0], np.zeros(len(ids[0])))
 
-        shape = "cell long, asks int, id long, vec array<double>"
-        both = self.placed.mapInArrow(held, shape).unionByName(queries.select("query_id", "vec").mapInArrow(to_cells, shape))
-        hits = both.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(answer, HIT)
-        return top(hits, k).select("query_id", "rank", "vec_id", "score")
+        shape = "cell long, asks int, id long, vec array<double>, floor double"
+        both = self.placed.mapInArrow(held, shape).unionByName(queries.select("query_id", "vec", "floor").mapInArrow(to_cells, shape))
+        return both.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(answer, HIT)
 
 
 def texts_mix(ids: np.ndarray) -> np.ndarray:
@@ -275,5 +291,5 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     index = Index(vectors)
     if not index.rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = index.placed.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
+    queries = stage(index.placed.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
     return index.search(queries, k, index.calibrated(queries, k, recall))
