@@ -86,7 +86,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         fresh = set().union(*(words[1:] for words in split.values())) - self.known.keys()
-        odd = {w for w in fresh if not w or any(c.isspace() for c in w)}
+        odd = {w for w in fresh if w.split() != [w]}  # empty, or with white space of some kind inside
         spaced = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}  # what comes next decides how these split
         if fresh - odd and self.by_line:
             self._learn(list(fresh - odd))
