@@ -31,6 +31,8 @@ BANDS, BAND_ROWS = 64, 8
 BINS = BANDS * BAND_ROWS
 #: Classes of a block that is compared in one task.
 BLOCK = 512
+#: Buckets with more unconnected groups are compared in blocks as a whole, not group by group.
+CROWD = 32
 U = np.uint64
 _VALUE_BITS = U(48)
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -91,7 +93,11 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _close_pairs(held: pd.DataFrame, asking: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Similar enough pairs of a block of held and a block of asking classes: one count over the shingles that both have."""
+    """Similar enough pairs of a block of held and a block of asking classes: one count over the shingles that both have.
+
+    own: the group that a class is connected to already (itself, if not given). Pairs inside a group are left out, and a class
+    gets one link to each other group, since more connect no more.
+    """
     none = pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
     if held.empty or asking.empty:
         return none
@@ -99,13 +105,15 @@ def _close_pairs(held: pd.DataFrame, asking: pd.DataFrame, percent: int) -> pd.D
     flat, owner = np.concatenate(held["shingles"].tolist()), np.repeat(np.arange(len(held)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner, ids = flat[order], owner[order], held["class"].to_numpy()
+    group = held["own"].to_numpy() if "own" in held else ids
     found = []
-    for x, own in zip(asking["x"].tolist(), asking["of_x"].tolist(), strict=True):
+    for x, mine, own in zip(asking["x"].tolist(), asking["own_x" if "own_x" in asking else "x"].tolist(), asking["of_x"].tolist(), strict=True):
         low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
         width = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
         common = np.bincount(owner[at], minlength=len(held))
-        near = ids[(common * 100 >= (sizes + len(own) - common) * percent) & (ids != x)]
+        near = np.flatnonzero((common * 100 >= (sizes + len(own) - common) * percent) & (group != mine))
+        near = ids[near[np.unique(group[near], return_index=True)[1]]]
         found.append(np.column_stack([np.minimum(near, x), np.maximum(near, x)]))
     links = np.concatenate(found)
     return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
@@ -171,9 +179,13 @@ class NearDuplicates:
         """Links (a, b) between classes from different groups of a bucket. left: band, class, n, group.
 
         Of two groups the smaller one's classes ask. A class next to a group of one is a pair; next to a larger group it is
-        compared with the group's blocks, where one pass over its shingles counts what it shares with every member.
+        compared with the group's blocks, where one pass over its shingles counts what it shares with every member. In a bucket
+        with many groups, all classes but those of the largest group ask, and the whole bucket is held, in such blocks too.
         """
         sized = left.groupBy("band", "group").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+        crowded = sized.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "group"))["group"].alias("largest")).where(F.col("groups") > CROWD)
+        crowd = stage(left.join(crowded, "band").select("band", "class", "group", "largest"), "crowd")
+        sized = sized.join(crowd.select("band").distinct(), "band", "left_anti")
         possible = (F.col("ha") * 100 >= F.col("lb") * self.percent) & (F.col("hb") * 100 >= F.col("la") * self.percent)
         two = sized.toDF("band", "ga", "sa", "la", "ha").join(sized.toDF("band", "gb", "sb", "lb", "hb"), "band").where((F.col("ga") < F.col("gb")) & possible)
         smaller = F.col("sa") <= F.col("sb")
@@ -184,13 +196,17 @@ class NearDuplicates:
         asks = stage(asks.join(members, "many"), "asks")
         pairs = asks.where("members = 1").select(F.least("x", "only").alias("a"), F.greatest("x", "only").alias("b")).distinct()
         single = self._verified(stage(pairs.join(tried, ["a", "b"], "left_anti"), "cross"), sets)
-        askers = asks.where("members > 1").groupBy(F.col("many").alias("group"), "members").agg(F.count("*").alias("askers"))
-        shape = askers.select("group", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("askers") / BLOCK).alias("columns"))
+        # Blocks of groups and of crowded buckets, under the group's or the bucket's number
+        kept = inside.select("group", "class", F.col("group").alias("own")).union(crowd.select(F.col("band").alias("group"), "class", F.col("group").alias("own")))
+        asking = asks.where("members > 1").select(F.col("many").alias("group"), "x", F.lit(-1).cast("long").alias("own_x"))  # never of the group asked
+        asking = asking.union(crowd.where(F.col("group") != F.col("largest")).select(F.col("band").alias("group"), F.col("class").alias("x"), F.col("group").alias("own_x")))
+        counts = kept.groupBy("group").agg(F.count("*").alias("members")).join(asking.groupBy("group").agg(F.count("*").alias("askers")), "group")
+        shape = counts.select("group", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("askers") / BLOCK).alias("columns"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-        held = inside.join(shape, "group").select("group", dealt("class", "rows").alias("row"), every("columns").alias("column"), "class").join(sets, "class")
-        wanted = asks.where("members > 1").select(F.col("many").alias("group"), "x").join(shape, "group").select("group", every("rows").alias("row"), dealt("x", "columns").alias("column"), "x").join(sets.toDF("x", "of_x"), "x")
-        wanted, percent = wanted.toDF("x", "g", "r", "c", "of_x"), self.percent
+        held = kept.join(shape, "group").select("group", dealt("class", "rows").alias("row"), every("columns").alias("column"), "class", "own").join(sets, "class")
+        wanted = asking.join(shape, "group").select("group", every("rows").alias("row"), dealt("x", "columns").alias("column"), "x", "own_x").join(sets.toDF("x", "of_x"), "x")
+        wanted, percent = wanted.toDF("x", "g", "r", "c", "own_x", "of_x"), self.percent
         across = held.groupBy("group", "row", "column").cogroup(wanted.groupBy("g", "r", "c")).applyInPandas(lambda a, b: _close_pairs(a, b, percent), "a long, b long")
         return stage(single.union(across), "more")
 
