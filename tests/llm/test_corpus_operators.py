@@ -185,6 +185,15 @@ def test_block_comparison_links_what_pairs_do():
     assert got == {(a, b) for a in range(20) for b in range(20, 40) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
 
 
+def test_block_comparison_gives_one_link_to_each_other_group():
+    import pandas as pd
+
+    same = np.arange(50, dtype=np.int64)
+    held = pd.DataFrame({"class": [1, 2, 3, 4], "own": [1, 1, 3, 4], "shingles": [same, same, same, same + 1000]})
+    asking = pd.DataFrame({"x": [1, 3], "own_x": [1, 3], "of_x": [same, same]})
+    assert sorted(map(tuple, near_dup._close_pairs(held, asking, 80).to_numpy().tolist())) == [(1, 3), (1, 3)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60) if k % 7] + [(100, k) for k in range(101, 140)] + [(5, 5)]
     labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
