@@ -53,3 +53,42 @@ def whole_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, hei
     right, bottom = F.least(F.ceil(x2), width), F.least(F.ceil(y2), height)
     right, bottom = F.least(F.greatest(right, left + least), width), F.least(F.greatest(bottom, top + least), height)
     return [F.greatest(F.least(left, right - least), F.lit(0)), F.greatest(F.least(top, bottom - least), F.lit(0)), right, bottom]
+
+
+def centered_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """Box (x1, y1, x2, y2) of whole pixels around a center, halves to even, inside the image and one pixel wide at least."""
+
+    def side(middle: Column, length: Column, most: Column) -> tuple[Column, Column]:
+        low = F.greatest(F.lit(0), F.least(most - 1, F.bround(middle - length / 2).cast("int")))
+        high = F.greatest(F.lit(1), F.least(most, F.bround(middle + length / 2).cast("int")))
+        return low, F.when(high <= low, F.least(most, low + 1)).otherwise(high)
+
+    (x1, x2), (y1, y2) = side(x, w, width), side(y, h, height)
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+
+
+def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, pad: Column, least: int = 4) -> Column:
+    """Padded box outward to whole pixels inside the image; null if a side is then shorter than `least`."""
+    low = lambda a, b: F.greatest(F.lit(0), F.floor(F.least(a, b) - pad))
+    high = lambda a, b, most: F.least(most, F.ceil(F.greatest(a, b) + pad))
+    left, top, right, bottom = low(x1, x2), low(y1, y2), high(x1, x2, width), high(y1, y2, height)
+    box = F.struct(*(c.cast("long").alias(n) for c, n in zip((left, top, right, bottom), ("x1", "y1", "x2", "y2"), strict=True)))
+    there = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
+    return F.when(there & (right - left >= least) & (bottom - top >= least), box)
+
+
+def head_box(roi: Column, base_x: Column, base_y: Column, tip_x: Column, tip_y: Column, length: Column, width: Column, height: Column) -> Column:
+    """Crop around what there is of a head region (x1, y1, x2, y2) and the two ends of a bill."""
+    pair = lambda x, y, c: F.when(x.isNotNull() & y.isNotNull(), c)
+    xs = F.array_compact(F.array(roi["x1"], roi["x2"], pair(base_x, base_y, base_x), pair(tip_x, tip_y, tip_x)))
+    ys = F.array_compact(F.array(roi["y1"], roi["y2"], pair(base_x, base_y, base_y), pair(tip_x, tip_y, tip_y)))
+    low_x, high_x, low_y, high_y = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+    span = F.greatest(high_x - low_x, high_y - low_y)
+    pad = F.greatest(F.lit(6.0), 0.12 * F.greatest(width, height), 0.25 * span, 0.35 * length)
+    return crop_box(low_x, low_y, high_x, high_y, width, height, pad)
+
+
+def body_box(roi: Column, width: Column, height: Column) -> Column:
+    span = F.greatest(F.abs(roi["x2"] - roi["x1"]), F.abs(roi["y2"] - roi["y1"]))
+    pad = F.greatest(F.lit(6.0), 0.10 * span, 0.05 * F.greatest(width, height))
+    return crop_box(roi["x1"], roi["y1"], roi["x2"], roi["y2"], width, height, pad)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.operators.numbering import numbered
+
 
 def round_robin(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
     """One row per group and pass, groups in order, until `most` rows; `pick` numbers them from 1."""
@@ -49,9 +51,10 @@ def anchor_windows(anchors: DataFrame, before: int, after: int, stride: int) ->
 
 def within_budget(df: DataFrame, order: list[str], size: str, most_bytes: int, most_rows: int) -> DataFrame:
     """Rows in order while what came before them is below both budgets."""
+    first = df.orderBy(*order).limit(most_rows)  # no later row can be taken, so one task sees most_rows at most
     before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(size).over(before), F.lit(0))
-    return df.withColumns({"spent": spent, "place": F.row_number().over(W.orderBy(*order))}).where((F.col("spent") < most_bytes) & (F.col("place") <= most_rows))
+    return first.withColumns({"spent": spent, "place": F.row_number().over(W.orderBy(*order))}).where(F.col("spent") < most_bytes)
 
 
 def positions(df: DataFrame, group: str, order: list) -> DataFrame:
@@ -61,6 +64,48 @@ def positions(df: DataFrame, group: str, order: list) -> DataFrame:
 
 def evidence_bucket(df: DataFrame, score: str, tie: str, best: int, weak: int) -> DataFrame:
     """The best by score, the weakest at the other end, the rest between; a row in both is among the best."""
-    ranked = df.withColumn("rank", F.row_number().over(W.orderBy(F.col(score).desc(), tie)))
+    ranked = numbered(df, [F.col(score).desc(), tie], "rank")
     total = df.count()
     return ranked.withColumn("bucket", F.when(F.col("rank") <= best, "best").when(F.col("rank") > total - weak, "weak").otherwise("middle"))
+
+
+def burst_frames(videos: DataFrame, stride: int, step: int, radius: int, most: int) -> DataFrame:
+    """Frames around every `stride`-th one of videos (video, frames), at most `most` of these; a frame of several bursts is the last one's."""
+    bases = videos.where(F.col("frames") > 0).select("video", "frames", F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(stride).cast("long")).alias("all"))
+    n = F.size("all")
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(F.col("all"), F.floor(i * (n / F.lit(float(most)))).cast("int")))
+    few = F.when(n > most, even).otherwise(F.col("all")) if most > 0 else F.col("all")
+    bursts = bases.select("video", "frames", F.posexplode(few).alias("burst", "base"))
+    shots = bursts.select("video", "frames", "burst", "base", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("shot"))
+    frame = F.col("base") + F.col("shot") * step
+    inside = shots.withColumn("frame", frame).where((F.col("frame") >= 0) & (F.col("frame") < F.col("frames")))
+    last = inside.groupBy("video", "frame").agg(F.max(F.struct("burst", "shot")).alias("x"))
+    return last.select("video", "frame", "x.burst", F.when(F.col("x.shot") == 0, "base").otherwise("burst").alias("role"))
+
+
+def preview(frames: DataFrame, group: str, frame: str, anchor: str, most: int) -> DataFrame:
+    """Frames to show of each group: its first, its anchor, its last, with more than three its middle, then the earliest others."""
+    whole = W.partitionBy(group)
+    placed = frames.withColumns({"__place": F.row_number().over(whole.orderBy(frame)) - 1, "__n": F.count("*").over(whole)})
+    at = F.col("__place")
+    rank = F.when(at == 0, 0).when(F.col(frame) == F.col(anchor), 1).when(at == F.col("__n") - 1, 2)
+    if most > 3:
+        rank = rank.when(at == F.floor(F.col("__n") / 2), 3)
+    turn = F.row_number().over(whole.orderBy(rank.otherwise(4), frame))
+    return placed.withColumn("__turn", turn).where(F.col("__turn") <= most).drop("__place", "__n", "__turn")
+
+
+def anchor_times(videos: DataFrame, step: float, most: int) -> DataFrame:
+    """Times every `step` seconds of videos (video, seconds), the end too if it is half a step away; `most` of them, evenly spread.
+
+    A video without length has its start alone.
+    """
+    seconds = F.col("seconds")
+    count = F.ceil(seconds / step).cast("int")
+    raw = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: i * F.lit(step))
+    end = F.greatest(F.lit(0.0), seconds - 0.001)
+    times = F.when(seconds <= 0, F.array(F.lit(0.0))).when(end - F.element_at(raw, -1) >= 0.5 * step, F.concat(raw, F.array(end))).otherwise(raw)
+    listed = videos.select("video", times.alias("t"))
+    n = F.size("t")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(F.col("t"), F.bround(i * (n - 1) / F.lit(float(max(1, most - 1)))).cast("int")))
+    return listed.select("video", F.posexplode(F.when(n > most, spread).otherwise(F.col("t"))).alias("anchor", "seconds"))

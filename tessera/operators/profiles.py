@@ -16,10 +16,10 @@ def profile_stats(df: DataFrame, name: str, event: str, seen: str, seconds: str)
 
 
 def duration_text(seconds: Column) -> Column:
-    whole = F.round(seconds).cast("long")
-    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
-    text = F.when(h > 0, F.concat(h, F.lit("h "), m, F.lit("m "), s, F.lit("s"))).when(m > 0, F.concat(m, F.lit("m "), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))
-    return F.when(seconds.isNotNull(), text)
+    """Below a minute seconds to one digit, from there whole minutes and seconds; TBD if unknown."""
+    short = F.concat(F.bround(seconds, 1).cast("string"), F.lit(" sec"))
+    long = F.concat(F.floor(seconds / 60), F.lit(" min "), F.floor(seconds % 60), F.lit(" sec"))
+    return F.when(seconds < 60, short).when(seconds >= 60, long).otherwise("TBD")
 
 
 def flag_counts(df: DataFrame, flags: str) -> DataFrame:

@@ -52,10 +52,12 @@ def nearest(vectors: DataFrame, k: int = 8, rows: int | None = None) -> DataFram
 def ordered_pairs(vectors: DataFrame, most: int) -> DataFrame:
     """The first `most` pairs (i < j, in order) of rows numbered by id, with cosine and rank.
 
-    Only rows that reach into the first pairs take part: they are joined on row numbers, not each with each.
+    Only rows that reach into the first pairs take part: they are joined on row numbers, not each with each. What one task
+    numbers and ranks is bounded by `most`, whatever the table.
     """
     total = vectors.count()
-    numbered = vectors.withColumn("ord", (F.row_number().over(W.orderBy("id")) - 1).cast("long"))
+    reach = vectors.select("id").orderBy("id").limit(most + 1)  # the first row alone has most pairs with these
+    numbered = vectors.join(reach.withColumn("ord", (F.row_number().over(W.orderBy("id")) - 1).cast("long")), "id")
     before = F.expr(f"ord * {total}L - ord * (ord + 1) div 2")
     firsts = numbered.withColumn("before", before).where((F.col("before") < most) & (F.col("ord") < total - 1))
     last = F.least(F.lit(total - 1), F.col("ord") + most - F.col("before"))
@@ -99,6 +101,6 @@ def best_between(vectors: DataFrame, threshold: float, per_name: int = 25, most:
         out = pd.DataFrame({"name_a": na[i], "name_b": nb[j], "id_a": a["id"].to_numpy()[i], "id_b": b["id"].to_numpy()[j], "cosine": sim[i, j]})
         return out.sort_values(["cosine", "id_a", "id_b"], ascending=[False, True, True]).drop_duplicates(["name_a", "name_b"])
 
-    found = in_cells(left, few, "id", keep, "name_a long, name_b long, id_a long, id_b long, cosine double", per_name * 64)
+    found = in_cells(left, few, "id", keep, "name_a long, name_b long, id_a long, id_b long, cosine double", few.count())
     best = found.groupBy("name_a", "name_b").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "id_a", "id_b")).alias("x"))
     return best.select("name_a", "name_b", "x.id_a", "x.id_b", (-F.col("x.minus")).alias("cosine")).orderBy(F.col("cosine").desc(), "name_a", "name_b").limit(most)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import clean, ladders, plane
 from tessera.operators import audit, clusters, frames, fusion, identity, measures, profiles, similarity, species
+from tessera.plans.registry import query, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 PAIRS, EDGE, CLUSTER = 50_000, 0.30, 0.40
 TAXA = ["a;aves;caprimulgiformes;trochilidae;calypte;anna;anna's hummingbird", "a;aves;caprimulgiformes;trochilidae;;;hummingbird", "a;aves;;;;;bird", ";;;;;;blank"]
 TAXA_SQL = "(VALUES " + ", ".join("({}, '{}')".format(k, t.replace("'", "''")) for k, t in enumerate(TAXA)) + ") x(k, label)"
@@ -20,20 +16,6 @@ COSINES = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FRO
     p AS (SELECT a.id AS a, b.id AS b, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a, e b WHERE a.id <> b.id)"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("name"))
 
@@ -349,14 +331,14 @@ def bbox_audit(spark, sf_dir):
 
 @query(f"""WITH e AS (SELECT event_id, (props->>'k')::INT AS k, value FROM events), j AS (SELECT event_id, e.k AS k, x.label, value FROM e JOIN {TAXA_SQL} ON x.k = e.k % 4)
     SELECT event_id, k, string_split(label, ';')[-1] AS common_name,
-      CASE k % 4 WHEN 0 THEN 'species' WHEN 1 THEN 'family' WHEN 2 THEN 'class' ELSE 'none' END AS rank,
-      CASE WHEN value / 100 >= 0.7 THEN 'proposed_high' WHEN value / 100 >= 0.3 THEN 'proposed_low' ELSE 'weak_guess' END AS band FROM j""")
+      CASE k % 4 WHEN 0 THEN 'species' WHEN 1 THEN 'family' WHEN 2 THEN 'class' ELSE 'blank' END AS rank,
+      CASE WHEN k % 4 = 3 THEN 'unknown' WHEN k % 4 = 2 THEN 'unknown_bird' WHEN value / 100 >= 0.7 THEN 'proposed_high' WHEN value / 100 >= 0.3 THEN 'proposed_low' ELSE 'weak_guess' END AS band FROM j""")
 def json_label_parse(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
     taxa = spark.createDataFrame(list(enumerate(TAXA)), "t int, label string")
     joined = events.join(F.broadcast(taxa), F.col("k") % 4 == F.col("t"))  # four rows
     label = F.col("label")
-    return joined.select("event_id", "k", species.common_name(label).alias("common_name"), species.rank_of(label).alias("rank"), species.confidence_band(F.col("value") / 100, F.lit(False)).alias("band"))
+    return joined.select("event_id", "k", species.common_name(label).alias("common_name"), species.rank_of(label).alias("rank"), species.confidence_band(F.col("value") / 100, species.review_status(label)).alias("band"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen FROM events""")
