@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MATCH_LABELS = [("strong_local_match", 45, 0.50), ("possible_local_match", 20, 0.30), ("weak_possible_local_match", 8, 0.15)]
 
 
-def image_evidence(sharpness: Column, mean: Column, deviation: Column, edge: Column, center: Column) -> dict[str, Column]:
+def image_evidence(sharpness: Column, mean: Column, deviation: Column, edge: Column, center: Column, digits: int | None = 4) -> dict[str, Column]:
     """Parts and sum of an image's evidence from its grey values: Laplacian variance, mean, deviation, and the deviations at the edges and inside."""
     zero = F.lit(0.0)
     sharp = F.least(F.log1p(F.greatest(sharpness, zero)) / 8, F.lit(1.5))
@@ -17,7 +17,8 @@ def image_evidence(sharpness: Column, mean: Column, deviation: Column, edge: Col
     contrast = F.least(deviation / 64, F.lit(1.5))
     penalty = F.least(F.greatest((edge - center) / 128, zero), F.lit(0.5))
     total = F.greatest(zero, F.least(0.55 * sharp + 0.15 * bright + 0.25 * contrast - 0.20 * penalty, F.lit(1.5)))
-    return {"sharp": F.round(sharp, 4), "bright": F.round(bright, 4), "contrast": F.round(contrast, 4), "edge_penalty": F.round(penalty, 4), "evidence": F.round(total, 4)}
+    parts = {"sharp": sharp, "bright": bright, "contrast": contrast, "edge_penalty": penalty, "evidence": total}
+    return {name: F.round(c, digits) if digits is not None else c for name, c in parts.items()}
 
 
 def match_label(matches: Column, mean: Column) -> Column:

@@ -159,11 +159,12 @@ def match_summary(spark, sf_dir):
 
 @query("""WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 20 AS sharp, l_extendedprice / 400 AS mean, l_quantity * 2 AS dev, l_linenumber * 9.0 AS edge, l_linenumber * 5.0 AS center FROM lineitem),
     s AS (SELECT *, least(ln(1 + sharp) / 8, 1.5) AS a, greatest(0, 1 - abs(mean - 128) / 128) AS b, least(dev / 64, 1.5) AS c, least(greatest((edge - center) / 128, 0), 0.5) AS d FROM v)
-    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a, 4) AS sharp, round(b, 4) AS bright, round(c, 4) AS contrast, round(d, 4) AS edge_penalty, round(greatest(0, least(0.55 * a + 0.15 * b + 0.25 * c - 0.20 * d, 1.5)), 4) AS evidence FROM s""")
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a + 1e-9, 4) AS sharp, round(b + 1e-9, 4) AS bright, round(c + 1e-9, 4) AS contrast, round(d + 1e-9, 4) AS edge_penalty, round(greatest(0, least(0.55 * a + 0.15 * b + 0.25 * c - 0.20 * d, 1.5)) + 1e-9, 4) AS evidence FROM s""")
 def image_evidence(spark, sf_dir):
     q, n = F.col("l_quantity"), F.col("l_linenumber")
-    parts = quality.image_evidence(q * 20, F.col("l_extendedprice") / 400, q * 2, n * 9.0, n * 5.0)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *(c.alias(k) for k, c in parts.items()))
+    parts = quality.image_evidence(q * 20, F.col("l_extendedprice") / 400, q * 2, n * 9.0, n * 5.0, digits=None)
+    even = {k: F.round(c + 1e-9, 4) for k, c in parts.items()}  # ties would hang on the last bits
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *(c.alias(k) for k, c in even.items()))
 
 
 @query("""WITH d AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: 500 * abs(x)) AS d, 20 + vec_id % 90 AS a, vec_id % 100 AS b FROM embeddings),
