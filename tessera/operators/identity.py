@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.clean import auto_name
+from tessera.operators.clusters import components
+from tessera.operators.numbering import numbered
+from tessera.operators.similarity import best_before
 
 
 def status_pivot(df: DataFrame, identity: str, status: str, statuses: list[str], score: str) -> DataFrame:
@@ -62,22 +64,13 @@ def first_match(left: DataFrame, left_id: str, left_keys: list[str], right: Data
 
 
 def assign_in_order(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Identities given one after another (id, vec): the best earlier vector's if similar enough, else a new number.
+    """Identities given one after another (id, vec): the best earlier vector's if similar enough (ties: the earliest), else the next number.
 
-    Each answer depends on all before it, so this is one task's work by definition; the vectors held there are the whole store.
+    Which earlier vector a vector follows doesn't depend on the names given so far. So everything points at its best
+    predecessor, a tree of these is an identity, and its root, the smallest id in it, is where the number was given out.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        frame = frame.sort_values("id")
-        x = np.array(frame["vec"].tolist())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        names = np.zeros(len(x), dtype=np.int64)
-        for k in range(len(x)):
-            sim = np.round(x[:k] @ x[k], 6)
-            best = int(sim.argmax()) if k else -1
-            names[k] = names[best] if k and sim[best] >= threshold else names[:k].max(initial=0) + 1
-        return pd.DataFrame({"id": frame["id"].to_numpy(), "identity": names})
-
-    return vectors.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "id long, identity long")
+    best = best_before(vectors, threshold)
+    follows = best.where(F.col("match").isNotNull()).select(F.col("id").alias("a"), F.col("match").alias("b"))
+    roots = components(vectors.select("id"), follows)
+    numbers = numbered(roots.where("id = root").select("root"), ["root"], "identity")
+    return roots.join(numbers, "root").select("id", "identity")

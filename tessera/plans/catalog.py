@@ -135,7 +135,8 @@ def clusters_constrained(spark, sf_dir):
     return clusters.constrained(v.select("id"), pairs, apart, CLUSTER)
 
 
-@query()
+@query(f"""{COSINES.replace("WITH e", "WITH RECURSIVE e")}, r AS (SELECT * FROM p WHERE b < a QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) = 1), walk(id, spot) AS (SELECT id, id FROM e UNION SELECT walk.id, r.b FROM walk JOIN r ON r.a = walk.spot AND r.cosine >= {CLUSTER}),
+    roots AS (SELECT id, min(spot) AS root FROM walk GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY root) AS identity FROM roots""")
 def sequential_identity(spark, sf_dir):
     return identity.assign_in_order(vectors(spark, sf_dir).drop("name"), CLUSTER)
 
