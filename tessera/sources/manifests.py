@@ -65,3 +65,31 @@ def append_new(df: DataFrame, table: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key the table doesn't have yet, each key once: insert or ignore."""
     fresh = df.dropDuplicates([key])
     return fresh if table is None else fresh.join(table.select(key), key, "left_anti")
+
+
+def carried(df: DataFrame, prefix: str = "src_", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of an earlier step under a prefix, so that this step's own names are free."""
+    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keep and not c.startswith(prefix)})
+
+
+def wide_landmarks(df: DataFrame, bodyparts: list[str], coords: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Long landmarks (image, bodypart, coord, value) as one row per image; parts and coordinates are named, so nothing has to be counted first."""
+    cells = [F.max(F.when((F.col("bodypart") == b) & (F.col("coord") == c), F.col("value"))).alias(f"{b}_{c}") for b in bodyparts for c in coords]
+    return df.groupBy("image").agg(*cells)
+
+
+def snapshot(df: DataFrame, folder: str, version: int) -> None:
+    """A table as it is now, under a version of its own; a version that exists is never overwritten."""
+    df.write.mode("error").parquet(f"{folder}/version={version}")
+
+
+def restore(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The table of a version, or of the newest; only that version's files are read."""
+    versions = spark.read.parquet(folder)
+    wanted = version if version is not None else versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == wanted).drop("version")
+
+
+def write_by_name(df: DataFrame, path: str, name: str) -> None:
+    """A folder for each name: rows of one name are brought together first, so a name has few files."""
+    df.repartition(name).write.partitionBy(name).json(path)
