@@ -33,9 +33,9 @@ def test_proposals(spark):
 
 
 def test_crop_names(spark):
-    rows = [("a/20260125_154811_001-HBMR-frame-00001740-t0057.94-animal-002-conf057-pad20.png",), ("dir/plain_head.png",)]
+    rows = [("a/20260125_154811_001-CAM2-frame-00001740-t0057.94-animal-002-conf057-pad20.png",), ("dir/plain_head.png",)]
     got = spark.createDataFrame(rows, "p string").select(*(c.alias(n) for n, c in names.crop_name(F.col("p")).items()), names.source_key(F.col("p")).alias("key"), names.frame_number(F.col("p")).alias("number")).collect()
-    assert tuple(got[0]) == ("20260125_154811_001-HBMR", 1740, 57.94, 2, 0.57, "20260125_154811_001-HBMR", 1740)
+    assert tuple(got[0]) == ("20260125_154811_001-CAM2", 1740, 57.94, 2, 0.57, "20260125_154811_001-CAM2", 1740)
     assert tuple(got[1]) == ("plain_head", -1, -1.0, -1, 0.0, "plain", None)
 
 
