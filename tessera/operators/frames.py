@@ -25,6 +25,21 @@ def tiered_round_robin(df: DataFrame, tiers: list[Column], key: str, group: str,
     return turns.orderBy("tier", "turn", group).limit(most)
 
 
+def pair_reasons(crops: DataFrame, source: Column, frame: Column, near: int) -> DataFrame:
+    """How many pairs of crops of one source are within `near` frames (near_frame) and how many are not (kept), by reason and n.
+
+    No pair is listed: rows are counted by source and frame first, and a window over the frames before gives each count's
+    partners. Crops without a frame are near to none.
+    """
+    counts = crops.groupBy(source.alias("source"), frame.alias("frame")).agg(F.count("*").alias("c")).where(F.col("source").isNotNull())
+    before = F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("frame").rangeBetween(-near, -1)), F.lit(0))
+    partners = F.col("c") * before + F.expr("c * (c - 1) div 2")
+    close = counts.where(F.col("frame").isNotNull()).select(partners.alias("near"), F.lit(0).cast("long").alias("all"))
+    whole = counts.groupBy("source").agg(F.sum("c").alias("c")).select(F.lit(0).cast("long").alias("near"), F.expr("c * (c - 1) div 2").alias("all"))
+    sums = close.union(whole).agg(F.coalesce(F.sum("near"), F.lit(0)).alias("near_frame"), F.coalesce(F.sum("all") - F.sum("near"), F.lit(0)).alias("kept"))
+    return sums.select(F.expr("stack(2, 'near_frame', near_frame, 'kept', kept) AS (reason, n)")).where("n > 0")
+
+
 def even_places(count: Column, wanted: int) -> Column:
     """`wanted` places spread over 0 to count - 1, first and last included, halves to even; all places if there are fewer."""
     spread = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.bround(i * (count - 1) / F.lit(float(max(1, wanted - 1)))).cast("long"))

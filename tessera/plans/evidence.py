@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import names, plane, quality
-from tessera.operators import pose, profiles, species
+from tessera.operators import frames, pose, profiles, species
 from tessera.plans.registry import query, read
 
 SEEN = 0.05
@@ -239,10 +239,8 @@ def crop_names(spark, sf_dir):
 @query("""WITH c AS (SELECT event_id, user_id, event_id * 3 % 500 AS frame FROM events WHERE event_id % 10 <> 9), p AS (SELECT a.event_id AS a, b.event_id AS b, abs(a.frame - b.frame) AS gap FROM c a JOIN c b ON a.user_id = b.user_id AND a.event_id < b.event_id)
     SELECT CASE WHEN gap <= 30 THEN 'near_frame' ELSE 'kept' END AS reason, count(*) AS n FROM p GROUP BY 1""")
 def near_frame_pairs(spark, sf_dir):
-    some = crops(spark, sf_dir).where("event_id % 10 <> 9").withColumn("source", names.source_key(F.col("path")))
-    both = some.toDF("a", "path_a", "source").join(some.toDF("b", "path_b", "source"), "source").where("a < b")
-    reason = names.suppressed(F.col("path_a"), F.col("path_b"), same_source=False, near_frames=30)
-    return both.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    path = F.col("path")
+    return frames.pair_reasons(crops(spark, sf_dir), names.source_key(path), names.frame_number(path), near=30)
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 5 = 4 THEN NULL ELSE 3 END AS n, CASE WHEN vec_id % 5 = 4 THEN NULL ELSE (label + vec_id + 0.5)::DOUBLE END AS total FROM embeddings""")

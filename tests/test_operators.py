@@ -52,6 +52,19 @@ def test_round_robin_tiers(spark):
     assert [r["id"] for r in got.collect()] == [1, 2, 3, 4]
 
 
+def test_pairs_are_counted_and_not_listed(spark):
+    dice = random.Random(5)
+    rows = [(dice.choice(["a", "a", "b", None]), dice.choice([None, *range(0, 90, 7)])) for _ in range(120)]
+    pairs = [(x, y) for k, x in enumerate(rows) for y in rows[:k] if x[0] and x[0] == y[0]]
+    near = sum(x[1] is not None and y[1] is not None and abs(x[1] - y[1]) <= 30 for x, y in pairs)
+    crops = spark.createDataFrame(rows, "source string, frame long")
+    got = frames.pair_reasons(crops, F.col("source"), F.col("frame"), 30)
+    assert {r["reason"]: r["n"] for r in got.collect()} == {"near_frame": near, "kept": len(pairs) - near}
+    hot = spark.range(2_000_000).select(F.lit("a").alias("source"), (F.col("id") % 10).alias("frame"))
+    assert [(r["reason"], r["n"]) for r in frames.pair_reasons(hot, F.col("source"), F.col("frame"), 30).collect()] == [("near_frame", 2_000_000 * 1_999_999 // 2)]
+    assert frames.pair_reasons(crops.limit(0), F.col("source"), F.col("frame"), 30).count() == 0
+
+
 def test_even_places(spark):
     df = spark.createDataFrame([(5,), (2,), (0,)], "n long")
     assert [r[0] for r in df.select(frames.even_places(F.col("n"), 3)).collect()] == [[0, 2, 4], [0, 1], []]
