@@ -202,3 +202,12 @@ def test_isotonic_is_increasing_and_keeps_means():
     y = (dice.uniform(size=80) < (x > 0)).astype(float)
     _, worth = quality_rff.isotonic(x, y, n)
     assert (np.diff(worth) > 0).all()
+
+
+def test_structured_words_hash_apart():
+    word, other = "a", "b"
+    for _ in range(11):  # Thue-Morse words, on which polynomial hashes modulo 2^64 collide
+        word, other = word + other, other + word
+    runs = ["a" * n for n in range(1, 40)] + ["a" * n + "b" for n in range(40)] + [word, other, word[:1024], other[:1024]]
+    hashes = [int(texts.words(b).hash[0]) for b in texts.blocks(pa.array(runs), most=1)]
+    assert len(set(hashes)) == len(runs)
