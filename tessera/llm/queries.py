@@ -122,10 +122,19 @@ ORACLE_SQL: dict[str, str] = {
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(li.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
       FROM t LEFT JOIN covered USING (doc_id) LEFT JOIN li USING (doc_id)),
     b AS (SELECT *, n_words < {host_rules.LEAST_WORDS} OR 100 * n_repeat_words > {host_rules.MOST_REPEATED} * n_words AS base_failed FROM c),
-    h AS (SELECT source, sum(base_failed::INT) AS f, count(*) AS n FROM b WHERE source IS NOT NULL GROUP BY source),
-    m AS (SELECT avg(f / n) AS mean, var_samp(f / n) AS v FROM h),
-    p AS (SELECT mean, greatest({host_rules.PRIOR_LEAST}, least({host_rules.PRIOR_MOST}, CASE WHEN v > 0 THEN mean * (1 - mean) / v - 1 ELSE {host_rules.PRIOR_DEFAULT} END)) AS weight FROM m),
-    bad AS (SELECT source FROM h, p WHERE (f + mean * weight) / (n + weight) > {host_rules.HOST_LIMIT})
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
-    FROM b""",
+    s AS (
+      SELECT *, (n_symbols * {host_rules.WORDS_PER_SYMBOL} > n_words)::INT + (n_dup_lines * {host_rules.WORDS_PER_LINE} > n_words)::INT + (100 * n_repeat_words > {host_rules.SOFT_REPEATED} * n_words)::INT
+        + (word_chars < n_words * {host_rules.SHORTEST} OR word_chars > n_words * {host_rules.LONGEST})::INT AS soft FROM b),
+    h AS (SELECT source, sum((base_failed OR soft > 0)::INT)::DOUBLE AS f, count(*) AS n FROM s WHERE source IS NOT NULL GROUP BY source),
+    m AS (SELECT coalesce(avg(f / n), 0) AS mean, var_samp(f / n) AS v, avg(1 / n) AS part FROM h),
+    t2 AS (SELECT *, CASE WHEN part < 1 THEN (v - mean * (1 - mean) * part) / (1 - part) END AS between_hosts FROM m),
+    p AS (
+      SELECT mean, CASE WHEN v IS NULL OR between_hosts IS NULL THEN {host_rules.PRIOR_DEFAULT} WHEN between_hosts <= 0 THEN {host_rules.PRIOR_MOST}
+        ELSE greatest({host_rules.PRIOR_LEAST}, least({host_rules.PRIOR_MOST}, mean * (1 - mean) / between_hosts - 1)) END AS weight FROM t2),
+    r AS (SELECT source, mean, n + weight AS total, (f + mean * weight) / (n + weight) AS rate FROM h, p),
+    verdicts AS (
+      SELECT source, CASE WHEN rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > greatest({host_rules.HOST_RATE}, {host_rules.HOST_ODDS} * mean / (1 + {host_rules.HOST_ODDS - 1} * mean)) THEN 0
+        WHEN rate > mean + {host_rules.SAME} THEN {host_rules.SOFT_STRICT} ELSE {host_rules.SOFT_MOST} END AS allowed FROM r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND soft < coalesce(allowed, {host_rules.SOFT_MOST}) AS kept
+    FROM s LEFT JOIN verdicts USING (source)""",
 }

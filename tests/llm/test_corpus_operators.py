@@ -223,3 +223,49 @@ def test_pack_covers_every_id(spark):
 def test_queries_and_pipeline_run(spark):
     assert len(QUERIES) == 10
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def hosted(spark, hosts):
+    """hosts: name to (rows, rows that fail a soft rule alone)."""
+    prose = " ".join(f"word{k}" for k in range(60))
+    rows = [(f"{h}{k}", prose + (" # # # # # # # # #" if k < bad else f" end{k}"), h) for h, (n, bad) in hosts.items() for k in range(n)]
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, name string, text string, source string")
+
+
+def test_host_verdicts_decide(spark):
+    hosts = {f"good{k}": (40, 2) for k in range(12)} | {"bad": (40, 36), "small": (2, 2), "mixed": (40, 12), None: (5, 3)}
+    docs = hosted(spark, hosts)
+    assert docs.count() == sum(n for n, _ in hosts.values())
+    got = defaultdict(list)
+    for r in host_rules.judge_documents(docs).join(docs, "doc_id").collect():
+        assert not r["base_failed"]
+        got[r["source"]].append((r["name"], r["kept"]))
+    kept = {h: sum(k for _, k in rows) for h, rows in got.items()}
+    assert kept["bad"] == 0  # its four clean documents go too
+    assert kept["good0"] == 40 and kept[None] == 5  # one soft failure is forgiven
+    assert kept["mixed"] == 28  # strict ground: the twelve with a soft failure go
+    verdicts = {r["source"]: r["allowed"] for r in host_rules.host_verdicts(docs.select("source", F.contains("text", F.lit("#")).alias("bad")), "source", "bad").collect()}
+    assert verdicts["bad"] == 0 and verdicts["small"] == host_rules.SOFT_STRICT and verdicts["good3"] == host_rules.SOFT_MOST
+    names = {r["name"] for r in host_rules.keep_good(docs).collect()}
+    assert names == {n for rows in got.values() for n, k in rows if k}
+
+
+def test_host_verdicts_in_sql(spark):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL
+
+    docs = hosted(spark, {f"good{k}": (30, k % 4) for k in range(9)} | {"bad": (50, 45), "tiny": (1, 1), None: (4, 2)})
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[-1] for r in con.execute(ORACLE_SQL["op7_host_rules"]).fetchall()}
+    assert {r["doc_id"]: r["kept"] for r in host_rules.judge_documents(docs).collect()} == want and len(set(want.values())) == 2
+
+
+def test_join_spread_is_a_left_join(spark):
+    from tessera.llm.shared import join_spread
+
+    rows = spark.createDataFrame([(k, None if k % 11 == 0 else ("hot" if k % 3 else f"k{k % 200}"), 1) for k in range(3000)], "id long, key string, salt int")
+    table = rows.where("key is not null and key <> 'k3'").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = {tuple(r) for r in join_spread(rows, table, ["key"], "n", ["id"]).select("id", "key", "salt", "top").collect()}
+    assert got == {tuple(r) for r in rows.join(table, "key", "left").select("id", "key", "salt", "top").collect()} and len(got) == 3000
