@@ -2,22 +2,22 @@
 
 Slots 0, 1, 2, ... of the schedule map to van der Corput points, the points through the cumulative weights to sources, so
 every stretch of the schedule holds each source in its proportion. With 2^k points, cumulative weights in whole slots
-make each source's number of slots exact. Slots are ranked per source and joined to the source's blocks: its documents
+make each source's number of slots exact. Reversing bits undoes itself, so a source's slots are the reversed numbers of its
+stretch of points. Slots are ranked per source and joined to the source's blocks: its documents
 in hashed order, cut into blocks of equal words; rank r takes block r modulo the number of blocks, in epoch r div it.
+
+Sources are a table of any length: their weights follow from numbers given over sorted ranges, their targets from one water
+level that a few aggregations close in on, and rows meet their source by shared.join_spread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.shared import ROWS_PER_BUCKET, bounded_rows, free_names, running_offsets, stage
+from tessera.llm.shared import ROWS_PER_BUCKET, free_names, join_spread, running_offsets, stage
+from tessera.operators.numbering import numbered as numbered_in_order
 
 #: Fixed value: a word, as the JVM's regular expressions write it.
 WORD, BETWEEN = r"[^\x20\x09-\x0D]+", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
@@ -25,87 +25,85 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 #: Words of a block at most; a source with a small target has smaller ones, so that it gets BLOCKS_PER_SOURCE or more.
 BLOCK_WORDS, BLOCKS_PER_SOURCE = 2048, 256
-#: Sources are rows of a mix's recipe. Their number is checked.
-MOST_SOURCES = 100_000
+#: Parts that a search for the water level cuts its range into, each time.
+PARTS = 1024
 
 
-@dataclass
-class Share:
-    source: str | None
-    size: int
-    target: float
-    block: int = 1  # words
-    blocks: int = 0
-    slots: int = 0
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def targets(sizes: list[tuple[str | None, int]]) -> list[Share]:
-    """Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; none gets more than MOST_REPEATS times its own.
+def water_level(sources: DataFrame, total: int) -> float:
+    """The level at which sources, each filled up to level * weight but not above its cap, hold `total` in sum.
 
-    What a source can't take goes to the others by weight, again and again until none is above.
+    Between two neighbouring ratios of cap to weight the sum is linear in the level. The search sums by parts of the
+    range of ratios, goes on inside the part that the level lies in, and ends when that part has one ratio left.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [WEIGHTS[k % len(WEIGHTS)] for k in range(len(order))]
-    target, free, left = [0.0] * len(order), set(range(len(order))), float(sum(s for _, s in order))
-    while free:
-        share = left / sum(weight[k] for k in free)
-        full = {k for k in free if share * weight[k] >= MOST_REPEATS * order[k][1]}
-        if not full:
-            for k in free:
-                target[k] = share * weight[k]
-            break
-        for k in full:
-            target[k] = float(MOST_REPEATS * order[k][1])
-            left -= target[k]
-        free -= full
-    out = []
-    for (source, size), goal in zip(order, target, strict=True):
-        share = Share(source, size, goal)
-        if size:
-            share.block = max(1, min(BLOCK_WORDS, int(goal) // BLOCKS_PER_SOURCE))
-            share.blocks = -(-size // share.block)
-            epochs = min(MOST_REPEATS, int(goal // size))
-            share.slots = epochs * share.blocks + (min(share.blocks, round((goal - epochs * size) / share.block)) if epochs < MOST_REPEATS else 0)
-        out.append(share)
-    return out
-
-
-def van_der_corput(slots: np.ndarray, bits: int) -> np.ndarray:
-    """2^bits times the point of each slot: its bits in reverse."""
-    out = np.zeros_like(slots)
-    for k in range(bits):
-        out |= ((slots >> k) & 1) << (bits - 1 - k)
-    return out
-
-
-def schedule(spark: SparkSession, shares: list[Share]) -> DataFrame:
-    """slot, src (place among shares), block and epoch for every slot that goes to a source."""
-    upto = np.cumsum([s.slots for s in shares], dtype=np.int64)
-    total = int(upto[-1]) if len(upto) else 0
+    ratio = F.col("cap") / F.col("weight")
+    low, high = 0.0, sources.agg(F.max(ratio)).first()[0]
+    while True:
+        full, rest = sources.agg(F.sum(F.when(ratio <= low, F.col("cap"))), F.sum(F.when(ratio > low, F.col("weight")))).first()
+        full, rest = full or 0, rest or 0
+        part = F.least(F.floor((ratio - low) / (high - low) * PARTS), F.lit(PARTS - 1)) if high > low else F.lit(0)
+        sums = sources.where((ratio > low) & (ratio <= high)).groupBy(part.alias("part")).agg(F.min(ratio).alias("least"), F.max(ratio).alias("most"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
+        rows = sorted(sums.collect())  # at most PARTS
+        for _, least, most, cap, weight in rows:
+            if full + cap + most * (rest - weight) >= total:
+                break
+            low, full, rest = most, full + cap, rest - weight
+        else:
+            return low
+        if least == most:
+            return (total - full) / rest
+        high = most
+
+
+def shares(totals: DataFrame) -> DataFrame:
+    """A staged table of sources (key, rows) with src (their place), source_size, target, and block_words, blocks, slots, first (slots of sources before).
+
+    Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; none gets more than MOST_REPEATS times its
+    own, and what one can't take goes to the others by weight.
+    """
+    placed = numbered_in_order(totals, [F.col("source").isNull(), "source"], "src")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("src") - 1, F.lit(len(WEIGHTS))).cast("int") + 1)
+    weighed = stage(placed.select("*", weight.alias("weight"), (F.col("source_size") * MOST_REPEATS).alias("cap")), "mix-sources")
+    total = weighed.agg(F.sum("source_size")).first()[0]
+    level = water_level(weighed, total) if total else 0.0
+    size, target, block, blocks, epochs = map(F.col, ("source_size", "target", "block_words", "blocks", "epochs"))
+    aimed = weighed.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * level))
+    cut = aimed.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(target / BLOCKS_PER_SOURCE))).cast("long"))
+    cut = cut.withColumn("blocks", F.ceil(size / block)).withColumn("epochs", F.when(size > 0, F.least(F.lit(MOST_REPEATS), F.floor(target / size))).otherwise(0))
+    last = F.when(epochs < MOST_REPEATS, F.least(blocks, F.bround((target - epochs * size) / block))).otherwise(0)
+    counted = stage(cut.withColumn("slots", (epochs * blocks + last).cast("long")).withColumns({"every": F.lit(0), "chunk": F.expr(f"src div {ROWS_PER_BUCKET}")}), "mix-slots")
+    before = running_offsets(counted, ["every"], "chunk", F.col("slots"), "before")
+    inside = W.partitionBy("chunk").orderBy("src").rowsBetween(W.unboundedPreceding, -1)
+    whole = counted.join(F.broadcast(before), ["every", "chunk"]).withColumn("first", F.col("before") + F.coalesce(F.sum("slots").over(inside), F.lit(0)))  # a row per ROWS_PER_BUCKET sources
+    return stage(whole.select("key", "rows", "src", "source_size", "target", "block_words", "blocks", "slots", "first"), "mix-shares")
+
+
+def reversed_bits(x: Column, bits: int) -> Column:
+    """A number's last `bits` bits in reverse: 2^bits times its van der Corput point."""
+    return F.conv(F.reverse(F.lpad(F.bin(x), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """slot, src, block and epoch for every slot that goes to a source."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
     bits = max(0, total - 1).bit_length()
-
-    def points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            slot = frame["id"].to_numpy()
-            point = van_der_corput(slot, bits)
-            slot, point = slot[point < total], point[point < total]
-            yield pd.DataFrame({"slot": slot, "src": np.searchsorted(upto, point, side="right").astype(np.int32)})
-
+    some = sources.where("slots > 0").select("src", "blocks", "first", "slots")
+    parts = some.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {ROWS_PER_BUCKET})")).alias("part")).repartition("src", "part")
+    start = f"first + part * {ROWS_PER_BUCKET}"
+    points = parts.select("src", "blocks", F.explode(F.expr(f"sequence({start}, least(first + slots, {start} + {ROWS_PER_BUCKET}) - 1)")).alias("point"))
     # Each slot's rank in its source: slots in order, by chunks of consecutive ones
-    chosen = spark.range(1 << bits if total else 0).mapInPandas(points, "slot long, src int")
-    chunked = stage(chosen.withColumn("chunk", F.expr(f"slot div {ROWS_PER_BUCKET}")), "slots")
+    slots = points.withColumn("slot", reversed_bits(F.col("point"), bits)).drop("point")
+    chunked = stage(slots.withColumn("chunk", F.expr(f"slot div {ROWS_PER_BUCKET}")), "slots")
     before = running_offsets(chunked, ["src"], "chunk", F.lit(1), "before")
     rank = F.col("before") + F.row_number().over(W.partitionBy("src", "chunk").orderBy("slot")) - 1
-    blocks = spark.createDataFrame([(k, s.blocks) for k, s in enumerate(shares)], "src int, blocks long")
-    ranked = chunked.join(before, ["src", "chunk"]).withColumn("rank", rank).join(F.broadcast(blocks), "src")  # at most MOST_SOURCES rows
+    ranked = chunked.join(before, ["src", "chunk"]).withColumn("rank", rank)
     return ranked.select("slot", "src", F.expr("rank % blocks").alias("block"), F.expr("cast(rank div blocks as int)").alias("epoch"))
 
 
-def recipe(spark: SparkSession, shares: list[Share]) -> DataFrame:
-    rows = [(k, s.source, s.size, s.target, s.block) for k, s in enumerate(shares)]
-    return spark.createDataFrame(rows, "src int, source string, source_size long, target double, block_words long")
-
-
 def in_order(rows: DataFrame, offsets: DataFrame, names: dict[str, str]) -> DataFrame:
     """rows with `at`: the words of the same source that come before them. names: what src, bucket, size, key and at are called."""
     n = names
@@ -119,36 +117,31 @@ class Mix:
     """The plan of a mix: shares, the staged schedule, and where each bucket of a source's hashed order starts."""
 
     def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
-        sized = stage(self._sized(docs.select("doc_id", "source", "text"), "words", "order").drop("text"), "mix-sizes")
-        totals = sized.groupBy("source").agg(F.sum("words"), F.count("*"))
-        rows = bounded_rows(totals, MOST_SOURCES, "the list of sources")
-        self.shares = targets([(r[0], r[1]) for r in rows])
-        self.buckets = max(1, -(-sum(r[2] for r in rows) // ROWS_PER_BUCKET))
-        self.recipe = recipe(spark, self.shares)
-        self.slots = stage(schedule(spark, self.shares), "schedule")
-        self.names = {n: n for n in ("src", "bucket", "size", "key", "at", "base")} | {"size": "words", "key": "order"}
-        self.sized = self._dealt(sized, self.names)
+        sized = stage(self._sized(docs.select("doc_id", "source", "text"), "words", "order", "key").drop("text"), "mix-sizes")
+        totals = stage(sized.groupBy("source", "key").agg(F.sum("words").alias("source_size"), F.count("*").alias("rows")), "mix-totals")
+        self.shares = shares(totals)
+        self.buckets = max(1, -(-(totals.agg(F.sum("rows")).first()[0] or 0) // ROWS_PER_BUCKET))
+        self.slots = stage(schedule(self.shares), "schedule")
+        of = ["key", "rows", "src", "source_size", "target", "block_words"]
+        self.sized = stage(self._bucketed(join_spread(sized, self.shares.select(*of), ["key"], "rows", ["order"]), "order", "bucket"), "mix-rows")
         self.offsets = stage(running_offsets(self.sized, ["src"], "bucket", F.col("words"), "base"), "mix-offsets")
 
     @staticmethod
-    def _sized(docs: DataFrame, words: str, order: str) -> DataFrame:
-        """The word count, and a hash that puts documents of a source into an order of their own."""
-        key = F.xxhash64(F.md5(F.col("text").cast("binary")), F.col("doc_id"), F.col("source"))
-        return docs.withColumns({words: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), order: key})
+    def _sized(docs: DataFrame, words: str, order: str, key: str) -> DataFrame:
+        """The word count, a hash that puts documents of a source into an order of their own, and the source's key."""
+        hashed = F.xxhash64(F.md5(F.col("text").cast("binary")), F.col("doc_id"), F.col("source"))
+        return docs.withColumns({words: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), order: hashed, key: source_key(F.col("source"))})
 
-    def _dealt(self, rows: DataFrame, names: dict[str, str]) -> DataFrame:
-        places = self.recipe.select(F.col("src").alias(names["src"]), F.col("source").alias("__source"))
-        bucket = F.pmod(F.col(names["key"]), F.lit(self.buckets)).cast("int")
-        return rows.join(F.broadcast(places), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn(names["bucket"], bucket)  # at most MOST_SOURCES rows
+    def _bucketed(self, rows: DataFrame, order: str, bucket: str) -> DataFrame:
+        return rows.withColumn(bucket, F.pmod(F.col(order), F.lit(self.buckets)).cast("int"))
 
     def positions(self) -> DataFrame:
         """doc_id, source place, words and `at` for every row."""
-        return in_order(self.sized, self.offsets, self.names)
+        return in_order(self.sized, self.offsets, {n: n for n in ("src", "bucket", "at", "base")} | {"size": "words", "key": "order"})
 
     def taken_words(self) -> DataFrame:
         """Words that the schedule takes from every row: the row's pieces joined to the slots of their blocks."""
-        placed = stage(self.positions().join(F.broadcast(self.recipe.drop("source")), "src").withColumn("row", F.monotonically_increasing_id()), "mix-places")  # at most MOST_SOURCES rows
+        placed = stage(self.positions().withColumn("row", F.monotonically_increasing_id()), "mix-places")
         pieces = placed.where("words > 0").select("row", "src", "at", "words", "block_words", F.explode(F.expr("sequence(at div block_words, (at + words - 1) div block_words)")).alias("block"))
         times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
         overlap = F.least(F.col("at") + F.col("words"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("at"), F.col("block") * F.col("block_words"))
@@ -161,12 +154,14 @@ class Mix:
         The ranks of a source's slots run through its blocks in order, so an epoch takes the first blocks of the
         source; where they end inside a document, the row keeps the words up to there, and n_chars, if docs has it, follows.
         """
-        words, order, src, bucket, base, at, took, epoch, upto = free_names(docs, "words", "order", "src", "bucket", "base", "at", "took", "epoch", "upto")
+        words, order, key, src, bucket, base, at, took, ends = free_names(docs, "words", "order", "key", "src", "bucket", "base", "at", "took", "ends")
         names = {"src": src, "bucket": bucket, "size": words, "key": order, "at": at, "base": base}
-        rows = in_order(self._dealt(self._sized(docs, words, order), names), self.offsets, names)
-        epochs = self.slots.groupBy("src", "epoch").agg((F.max("block") + 1).alias("blocks")).join(F.broadcast(self.recipe), "src")  # at most MOST_SOURCES rows
-        ends = epochs.select(F.col("src").alias(src), F.col("epoch").alias(epoch), (F.col("blocks") * F.col("block_words")).alias(upto))
-        mixed = rows.join(F.broadcast(ends), src).withColumn(took, F.least(F.col(upto) - F.col(at), F.col(words))).where(f"`{took}` > 0")  # at most MOST_REPEATS rows a source
+        upto = F.array_compact(F.array(*(F.max(F.when(F.col("epoch") == k, F.col("block") + 1)) for k in range(MOST_REPEATS + 1))))
+        epochs = self.slots.groupBy("src").agg(upto.alias("upto"))
+        recipe = self.shares.join(epochs, "src", "left").select(F.col("key").alias(key), "rows", F.col("src").alias(src), F.transform("upto", lambda b: b * F.col("block_words")).alias(ends))
+        known = join_spread(self._sized(docs, words, order, key), stage(recipe, "mix-epochs"), [key], "rows", [order])
+        rows = in_order(self._bucketed(known, order, bucket), self.offsets, names)
+        mixed = rows.withColumn(took, F.explode(F.transform(ends, lambda e: F.least(e - F.col(at), F.col(words))))).where(f"`{took}` > 0")  # one row per epoch
         parts = F.split("text", BETWEEN)
         lead = F.when(F.get(parts, F.lit(0)).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
         cut = F.col(took) < F.col(words)

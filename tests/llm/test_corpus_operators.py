@@ -149,6 +149,51 @@ def test_mix_takes_targets(spark):
     assert sorted(map(tuple, mix.taken_words().collect())) == sorted(map(tuple, mixing.mix_documents(docs.repartition(3)).collect()))
 
 
+def targets_by_hand(sizes):
+    """What a source can't take goes to the others by weight, again and again until none is above."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), sum(sizes.values())
+    while free:
+        share = left / sum(weight[s] for s in free)
+        full = {s for s in free if share * weight[s] >= 3 * sizes[s]}
+        target |= {s: 3.0 * sizes[s] for s in full} if full else {s: share * weight[s] for s in free}
+        if not full:
+            break
+        left -= sum(target[s] for s in full)
+        free -= full
+    return target
+
+
+def test_mix_targets_and_schedule_by_hand(spark):
+    dice = np.random.default_rng(8)
+    sizes = {"a": 100, None: 1000, "b": 10_000, "c": 0, "é": 37} | {f"s{k}": int(10 ** dice.uniform(0, 5)) for k in range(40)}
+    totals = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long").withColumn("key", mixing.source_key(F.col("source")))
+    found = mixing.shares(totals)
+    rows = {r["source"]: r for r in found.join(totals.select("key", "source"), "key").collect()}
+    want = targets_by_hand(sizes)
+    assert {s: r["target"] for s, r in rows.items()} == pytest.approx(want) and sum(want.values()) == pytest.approx(sum(sizes.values()))
+    order = sorted(rows.values(), key=lambda r: r["src"])
+    total = sum(r["slots"] for r in order)
+    bits = (total - 1).bit_length()
+    owner = [r for r in order for _ in range(r["slots"])]  # of each point
+    plain, rank = [], Counter()
+    for slot in range(1 << bits):
+        point = int(format(slot, f"0{bits}b")[::-1], 2)
+        if point < total:
+            r = owner[point]
+            plain.append((slot, r["src"], rank[r["src"]] % r["blocks"], rank[r["src"]] // r["blocks"]))
+            rank[r["src"]] += 1
+    assert sorted(tuple(r) for r in mixing.schedule(found).collect()) == plain
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 199_999).alias("source"), F.lit("one two three four five six seven " * 6).alias("text"))
+    out = mixing.mix_documents(docs)
+    total = out.agg(F.sum("size"), F.sum("taken"), F.max(F.col("taken") - 3 * F.col("size"))).first()
+    assert total[0] == 200_000 * 42 and abs(total[1] - total[0]) < 0.01 * total[0] and total[2] <= 0
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_match_brute_force(spark, width):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import host_rules, kmeans_tree, mixing, near_dup, packing, quality_rff, secret_scan, sharding, texts
+from tessera.llm import host_rules, kmeans_tree, near_dup, packing, quality_rff, secret_scan, sharding, texts
 
 PIECES = st.sampled_from(["a", "B", "é", " ", "\t", "\n", "\x0b", "#", "the ", "the cat sat ", "\xa0", "日本 ", "'s", "  ", "\r\n", "12"])
 TEXTS = st.lists(st.lists(PIECES, max_size=25).map("".join), min_size=1, max_size=6)
@@ -252,14 +252,6 @@ def test_dealing_is_longest_processing_time():
         assert sorted(got) == sorted(loads)
 
 
-def test_targets_and_schedule():
-    shares = mixing.targets([("a", 100), (None, 1000), ("b", 10_000), ("c", 0)])
-    assert [s.source for s in shares] == ["a", "b", "c", None] and shares[0].target == 300 and shares[2].target == 0
-    assert sum(s.target for s in shares) == pytest.approx(11_100)
-    points = mixing.van_der_corput(np.arange(64), 6)
-    assert sorted(points) == list(range(64)) and points[:4].tolist() == [0, 32, 16, 48]
-
-
 def test_best_first_walk_visits_every_leaf_once():
     x = np.random.default_rng(2).normal(size=(500, 6))
     tree = kmeans_tree.fit(x, 20)
