@@ -3,7 +3,8 @@
 The heap runs over size classes, not over groups. A class holds the groups of one size (below 8192 bytes exactly one
 size, above it sizes within 1/4096 of each other), so at most about 217,000 classes with their counts reach the driver,
 whatever the corpus. The equal groups of a class go out in one step: the heap only sees the last few of them. Groups
-then take their shard by their rank inside the class, found over buckets.
+then take their shard by their rank inside the class, found over buckets. Groups meet their class and rows their group by
+shared.join_spread, so neither a common size nor a text with a third of all copies makes a hot task or a large broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_rows, free_names, numbered, stage, utf8_bytes
+from tessera.llm.shared import bounded_rows, free_names, join_spread, numbered, stage, utf8_bytes
 
 #: Sizes of one class differ by less than one part in 2^CLASS_BITS.
 CLASS_BITS = 12
@@ -70,12 +71,12 @@ def shard_groups(groups: DataFrame, size: str, shards: int) -> DataFrame:
     counted = classed.groupBy(cls).agg(F.count("*").alias(n), F.sum(size).alias(total))
     classes = sorted(((r[0], r[1], r[2]) for r in bounded_rows(counted, MOST_CLASSES, "the table of size classes")), reverse=True)
     plan = deal(classes, shards)
-    columns = [pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.list_(pa.int32())), pa.array([p[2] for p in plan], pa.list_(pa.int64()))]
-    dealt = groups.sparkSession.createDataFrame(pa.table(columns, names=[cls, into, upto]))
+    columns = [pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.list_(pa.int32())), pa.array([p[2] for p in plan], pa.list_(pa.int64())), pa.array([c[1] for c in classes], pa.int64())]
+    dealt = stage(groups.sparkSession.createDataFrame(pa.table(columns, names=[cls, into, upto, n])), "shard-plan")
     key = [c for c in groups.columns if c != size]
     ranked = numbered(classed, [cls], F.struct(*key), key, rank, max((c[1] for c in classes), default=0))
     chosen = F.expr(f"element_at(`{into}`, 1 + size(filter(`{upto}`, u -> u <= `{rank}`)))").cast("int")
-    return ranked.join(F.broadcast(dealt), cls).withColumn("shard", chosen).drop(cls, rank, into, upto)  # at most MOST_CLASSES short rows
+    return join_spread(ranked, dealt, [cls], n, key).withColumn("shard", chosen).drop(cls, rank, into, upto)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -97,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         "shard-rows",
     )
     groups = stage(own.groupBy("copies").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
-    placed = shard_groups(groups.select("copies", "bytes"), "bytes", shards).select("copies", "shard")
-    rows = stage(own.join(placed, "copies").drop("copies"), "sharded")
+    placed = stage(shard_groups(groups, "bytes", shards).select("copies", "shard", "rows"), "shard-of-group")
+    rows = stage(join_spread(own, placed, ["copies"], "rows", ["row"]).drop("copies"), "sharded")
     slotted = numbered(rows, ["shard"], F.col("row"), ["row"], "slot", rows.count())
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
