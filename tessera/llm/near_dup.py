@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import texts
 from tessera.llm.components import connected_components
-from tessera.llm.shared import free_names, stage
+from tessera.llm.shared import free_names, join_spread, stage
 
 #: Two sets at similarity 0.8 miss each other in all bands with a chance of (1 - 0.8^BAND_ROWS)^BANDS, about 8e-6; at 0.85 it is 1e-9.
 BANDS, BAND_ROWS = 64, 8
 BINS = BANDS * BAND_ROWS
-#: Classes of a block that is compared in one task.
-BLOCK = 512
+#: Classes, and about how many shingles, of a block that is compared in one task.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Buckets with more unconnected groups are compared in blocks as a whole, not group by group.
 CROWD = 32
 U = np.uint64
@@ -132,7 +132,7 @@ class NearDuplicates:
         schema = "doc_id long, copy binary, n_shingles long, set1 long, set2 long, bands array<long>"
         self.rows = stage(self.docs.select("doc_id", "text", "copy").mapInArrow(lambda it: _fingerprints(it, width), schema), "fingerprints")
         # One row per distinct set. Its bands are those of any of its rows, since all are equal; so is the copy that stands for it.
-        grouped = self.rows.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "copy")).alias("one"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"))
+        grouped = self.rows.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "copy")).alias("one"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
         self.classes = stage(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
         self.labels = self._linked()
 
@@ -200,22 +200,30 @@ class NearDuplicates:
         kept = inside.select("group", "class", F.col("group").alias("own")).union(crowd.select(F.col("band").alias("group"), "class", F.col("group").alias("own")))
         asking = asks.where("members > 1").select(F.col("many").alias("group"), "x", F.lit(-1).cast("long").alias("own_x"))  # never of the group asked
         asking = asking.union(crowd.where(F.col("group") != F.col("largest")).select(F.col("band").alias("group"), F.col("class").alias("x"), F.col("group").alias("own_x")))
-        counts = kept.groupBy("group").agg(F.count("*").alias("members")).join(asking.groupBy("group").agg(F.count("*").alias("askers")), "group")
-        shape = counts.select("group", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("askers") / BLOCK).alias("columns"))
+        size_of = self.classes.select("class", "n")
+        kept, asking = stage(kept.join(size_of, "class"), "kept"), stage(asking.join(size_of.toDF("x", "n"), "x"), "asking")
+        of = lambda rows, n: rows.groupBy("group").agg(F.count("*").alias(n), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias(n + "_blocks"))
+        shape = stage(of(kept, "members").join(of(asking, "askers"), "group").select("group", "members", "askers", F.col("members_blocks").alias("rows"), F.col("askers_blocks").alias("columns")), "shapes")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-        held = kept.join(shape, "group").select("group", dealt("class", "rows").alias("row"), every("columns").alias("column"), "class", "own").join(sets, "class")
-        wanted = asking.join(shape, "group").select("group", every("rows").alias("row"), dealt("x", "columns").alias("column"), "x", "own_x").join(sets.toDF("x", "of_x"), "x")
+        held = join_spread(kept.drop("n"), shape.drop("askers"), ["group"], "members", ["class"]).where("rows is not null")
+        held = held.select("group", dealt("class", "rows").alias("row"), every("columns").alias("column"), "class", "own").join(sets, "class")
+        wanted = join_spread(asking.drop("n"), shape.drop("members"), ["group"], "askers", ["x"]).where("rows is not null")
+        wanted = wanted.select("group", every("rows").alias("row"), dealt("x", "columns").alias("column"), "x", "own_x").join(sets.toDF("x", "of_x"), "x")
         wanted, percent = wanted.toDF("x", "g", "r", "c", "own_x", "of_x"), self.percent
         across = held.groupBy("group", "row", "column").cogroup(wanted.groupBy("g", "r", "c")).applyInPandas(lambda a, b: _close_pairs(a, b, percent), "a long, b long")
         return stage(single.union(across), "more")
 
     def members(self) -> DataFrame:
         """doc_id, copy, n_shingles, label (null without words) and component_id for every row."""
-        labelled = self.classes.join(self.labels.toDF("class", "label"), "class", "left").select("set1", "set2", "n", "least", F.coalesce("label", "class").alias("label"))
-        smallest = labelled.groupBy("label").agg(F.min("least").alias("component"))
-        of_class = labelled.join(smallest, "label").select("set1", "set2", F.col("n").alias("n_shingles"), "label", "component")
-        joined = self.rows.select("doc_id", "copy", "n_shingles", "set1", "set2").join(of_class, ["set1", "set2", "n_shingles"], "left")
+        labelled = stage(self.classes.join(self.labels.toDF("class", "label"), "class", "left").select("set1", "set2", "n", "least", "copies", "label", "class"), "labelled")
+        # Classes without a link are their own component; the others' smallest doc_ids are found by label
+        linked = labelled.where("label is not null")
+        smallest = stage(linked.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("members")), "smallest")
+        with_smallest = join_spread(linked, smallest, ["label"], "members", ["class"])
+        alone = labelled.where("label is null").withColumns({"label": F.col("class"), "component": F.col("least")})
+        of_class = stage(with_smallest.unionByName(alone).select("set1", "set2", F.col("n").alias("n_shingles"), "label", "component", "copies"), "of-class")
+        joined = join_spread(self.rows.select("doc_id", "copy", "n_shingles", "set1", "set2"), of_class, ["set1", "set2", "n_shingles"], "copies", ["doc_id", "copy"])
         return joined.select("doc_id", "copy", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -236,9 +244,9 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with exactly one row of each component, whole, with all columns: that of the smallest doc_id (null last). Rows without words all stay."""
     key, copy = free_names(docs, "key", "copy")
-    rows = NearDuplicates(docs, width, percent).members().where("label is not null").groupBy("label", "doc_id", "copy").agg(F.count("*").alias("times"))
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first"))
-    marked = rows.join(first, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")))
+    rows = stage(NearDuplicates(docs, width, percent).members().where("label is not null").groupBy("label", "doc_id", "copy").agg(F.count("*").alias("times")), "members")
+    first = stage(rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first"), F.count("*").alias("members")), "firsts")
+    marked = join_spread(rows, first, ["label"], "members", ["doc_id", "copy"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")))
     marked = stage(marked.select(F.col("doc_id").alias(key), F.col("copy").alias(key + "_copy"), "times", "stays"), "decisions")
     whole = docs.withColumn(copy, _copy_key(F.col("text")))
     same = whole["doc_id"].cast("long").eqNullSafe(F.col(key)) & (whole[copy] == F.col(key + "_copy"))
