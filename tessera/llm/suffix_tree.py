@@ -1,11 +1,14 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A context (up to DEPTH words) is a candidate if it makes up at least CONTEXT_SHARE of the training tokens, and a state of
-the tree if what follows it diverges from what follows its suffix. A state keeps the next words that make up
-NEXT_SHARE of all tokens after it; the rest of its probability goes to its suffix, down to the root, which knows every
-word of the corpus. The shares bound the tree whatever the corpus: at most 1 / CONTEXT_SHARE contexts and 1 / NEXT_SHARE
-next words per length, and 1 / WORD_SHARE frequent words. So the tree travels to the tasks, while the whole vocabulary, which
-has no bound, stays a table that rare words are joined to.
+A context (up to DEPTH words) is a candidate if it occurs often enough, and a state of
+the tree if what follows it diverges from what follows its suffix. A state keeps the next words that follow it
+often enough; the rest of its probability goes to its suffix, down to the root, which knows every
+word of the corpus. Depth goes on while contexts pass.
+
+What is often enough grows with the square root of the corpus, so the tree grows with it too: from N tokens at most
+sqrt(N) / CONTEXT_ROOT contexts of each length, sqrt(N) / NEXT_ROOT next words and sqrt(N) / WORD_ROOT frequent words. The tree
+travels to the tasks (some megabytes from 10^8 tokens, ten times as much from 10^10), while the whole vocabulary stays a table
+that rare words are joined to.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import types as T
 from tessera.llm import texts
 from tessera.llm.shared import crc_bucket, stage
 
-DEPTH = 2
-CONTEXT_SHARE, NEXT_SHARE, WORD_SHARE = 1e-4, 1e-6, 2.5e-7
+DEPTH = 6
+#: Occurrences that a context, a next word and a frequent word need: these times the square root of the training tokens, and so many at least.
+CONTEXT_ROOT, NEXT_ROOT, WORD_ROOT = 0.05, 0.005, 0.0025
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 #: A context is kept if the divergence (in nats) of its next words from its suffix's is at least this.
 DIVERGENCE = 0.02
@@ -153,10 +157,10 @@ def _settle(tree: Tree, total: np.ndarray, divergence: float) -> None:
     level.next_log = np.log10(level.next_count / (total + kinds)[context] + down[context] * lower)
 
 
-def learn(texts_: DataFrame, counts: DataFrame, depth: int = DEPTH, shares: tuple[float, float, float] = (CONTEXT_SHARE, NEXT_SHARE, WORD_SHARE), divergence: float = DIVERGENCE) -> Tree:
+def learn(texts_: DataFrame, counts: DataFrame, depth: int = DEPTH, roots: tuple[float, float, float] = (CONTEXT_ROOT, NEXT_ROOT, WORD_ROOT), divergence: float = DIVERGENCE) -> Tree:
     """A tree from a table with one text column and the staged counts of its words (key, n). One pass over the texts per length."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    of_context, of_next, of_word = (max(least, int(share * tokens)) for share, least in zip(shares, (LEAST_CONTEXT, LEAST_NEXT, 1), strict=True))
+    of_context, of_next, of_word = (max(least, int(root * tokens**0.5)) for root, least in zip(roots, (LEAST_CONTEXT, LEAST_NEXT, 1), strict=True))
     word, count = _arrays(counts.where(F.col("n") >= of_word).select(F.col("key").alias("key"), "n"))
     order = np.argsort(word.view(U))
     tree = Tree(word.view(U)[order], count[order], tokens, distinct)
