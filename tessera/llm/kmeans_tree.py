@@ -25,16 +25,18 @@ from pyspark.sql.window import Window as W
 
 from tessera.llm.shared import stage
 
-#: Vectors that the tree is fitted on, and queries that calibrate it, at most.
-SAMPLE, PROBES = 16_384, 256
-BRANCHES, ROUNDS = 8, 8
-LEAF_ROWS, MOST_LEAVES = 1000, 1024
+#: Vectors that the tree is fitted on: so many a leaf, at least and at most; queries that calibrate it, at most.
+PER_LEAF, SAMPLE, MOST_SAMPLE, PROBES = 64, 16_384, 262_144, 256
+BRANCHES, ROUNDS, RESTARTS = 8, 8, 3
+#: One leaf to so many rows. The tree travels to the tasks, so its leaves end at MOST_LEAVES: beyond LEAF_ROWS * MOST_LEAVES
+#: vectors leaves grow, and are split into cells.
+LEAF_ROWS, MOST_LEAVES = 1000, 16_384
 CELL_ROWS = 4096
 #: Leaves of the first round of a search; later leaves only send what beats its k-th score.
 FIRST_VISITS = 4
 RECALL = 0.97
-#: Rounding of a matrix product, relative to the norms; candidates this close to the last place are scored again one by one.
-SLACK = 1e-9
+#: Rounding of a matrix product, in units of the last place times components and norms; candidates this close to the last place are scored again one by one.
+SLACK = 8 * np.finfo(np.float64).eps
 
 
 @dataclass
@@ -79,16 +81,20 @@ def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def k_means(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
-    """Group of each row; some groups may be empty."""
-    centers = x[random.choice(len(x), min(k, len(x)), replace=False)]
-    group = np.zeros(len(x), dtype=np.int64)
-    for _ in range(ROUNDS):
-        group = distances(x, centers).argmin(axis=1)
-        size = np.bincount(group, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, group, x)
-        centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers)
-    return group
+    """Group of each row, the tightest of RESTARTS runs; some groups may be empty."""
+    groups, least = np.zeros(len(x), dtype=np.int64), np.inf
+    for _ in range(RESTARTS):
+        centers = x[random.choice(len(x), min(k, len(x)), replace=False)]
+        for _ in range(ROUNDS):
+            group = distances(x, centers).argmin(axis=1)
+            size = np.bincount(group, minlength=len(centers))
+            sums = np.zeros_like(centers)
+            np.add.at(sums, group, x)
+            centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers)
+        spread = float(distances(x, centers)[np.arange(len(x)), group].sum())
+        if spread < least:
+            groups, least = group, spread
+    return groups
 
 
 def fit(sample: np.ndarray, leaves: int) -> Tree:
@@ -130,7 +136,7 @@ def best(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k
     rough = queries @ x.T
     rough[own[:, None] == ids[None, :]] = -np.inf
     last = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(queries), -np.inf)
-    slack = SLACK * (1 + np.abs(last, where=np.isfinite(last), out=np.zeros_like(last)))
+    slack = SLACK * x.shape[1] * np.sqrt((queries**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max(initial=0))
     q, r = np.nonzero((rough >= (last - slack)[:, None]) & (rough > -np.inf))
     score = np.zeros(len(q))
     for d in range(x.shape[1]):
@@ -168,8 +174,10 @@ class Index:
         if not self.rows:
             return
         self.valid = valid.where(F.size("vec") == self.dim)
-        drawn = self.valid.select(F.xxhash64("vec_id").alias("h"), "vec").orderBy("h").limit(SAMPLE).select("vec").toArrow()
-        self.tree = fit(lifted(matrix(drawn.column(0).combine_chunks(), self.dim), self.top), min(MOST_LEAVES, max(1, self.rows // LEAF_ROWS)))
+        leaves = min(MOST_LEAVES, max(1, self.rows // LEAF_ROWS))
+        sample = min(MOST_SAMPLE, max(SAMPLE, PER_LEAF * leaves))
+        drawn = self.valid.select(F.xxhash64("vec_id").alias("h"), "vec").orderBy("h").limit(sample).select("vec").toArrow()
+        self.tree = fit(lifted(matrix(drawn.column(0).combine_chunks(), self.dim), self.top), leaves)
         self.placed = stage(self.valid.mapInArrow(self._place, "vec_id long, leaf int, vec array<double>"), "placed")
 
     def _place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
