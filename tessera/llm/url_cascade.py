@@ -19,6 +19,8 @@ from tessera.llm.shared import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 12
 HASHES = 6
+#: A level lets at most one of so many other keys pass by mistake (0.4 % at these settings).
+KEYS_PER_MISTAKE = 200
 #: Bits of one level at most (8 MB in each task); a longer list is split by key into several cascades, each judging its keys in a pass of its own.
 MOST_BITS = 1 << 26
 
@@ -101,7 +103,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], blocked: DataFram
     here = pages.select(F.col(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = here.select(F.col("host").alias("key"), F.lit(False).alias("listed"))
     keys = stage(listing.union(universe).where("key <> ''").groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
-    segments = -(-max(1, keys.where("listed").count()) * BITS_PER_KEY // MOST_BITS)
+    here_, there_ = keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    segments = -(-max(1, here_, there_ // KEYS_PER_MISTAKE) * BITS_PER_KEY // MOST_BITS)
     name, says = rule_for(F.col("host"), F.col("path"), rules)
     parts = []
     for n in range(segments):
