@@ -172,7 +172,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     total = learned.count()
     if total > MOST_LABELLED:
         learned = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * MOST_LABELLED / total))
-    labelled = stage(counted.join(learned, "doc_id").select("x", "y", "fold").repartition(PARTS), "labelled")
+    # Dealt and sorted by doc_id, so that sums come out alike to the last bit when the query is run again
+    known = counted.join(learned, "doc_id").select("doc_id", "x", "y", "fold").repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "x")
+    labelled = stage(known.drop("doc_id"), "labelled")
     model = fit(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

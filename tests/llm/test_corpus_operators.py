@@ -66,12 +66,12 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", text), ""]
 
 
-def brute_tree(train, depth, shares, divergence):
+def brute_tree(train, depth, roots, divergence):
     """Contexts, next words and smoothing over plain tuples."""
     counts, n = Counter(w for t in train for w in t), sum(map(len, train))
     vocabulary = len(counts)
     base = lambda w: (counts[w] + 0.5) / (n + 0.5 * (vocabulary + 1))
-    of_context, of_next, of_word = (max(k, int(s * n)) for s, k in zip(shares, (suffix_tree.LEAST_CONTEXT, suffix_tree.LEAST_NEXT, 1), strict=True))
+    of_context, of_next, of_word = (max(k, int(s * n**0.5)) for s, k in zip(roots, (suffix_tree.LEAST_CONTEXT, suffix_tree.LEAST_NEXT, 1), strict=True))
     after = defaultdict(Counter)
     for t in train:
         for k in range(len(t)):
@@ -112,14 +112,20 @@ def test_suffix_tree_matches_brute_force(spark):
     got = {r["doc_id"]: r for r in suffix_tree.score_documents(docs).collect()}
     rows = {r["doc_id"]: tokens(r["text"]) for r in docs.collect()}
     train = [t for d, t in rows.items() if zlib.crc32(str(d).encode()) % 5 != 1]
-    base, score, kept = brute_tree(train, suffix_tree.DEPTH, (suffix_tree.CONTEXT_SHARE, suffix_tree.NEXT_SHARE, suffix_tree.WORD_SHARE), suffix_tree.DIVERGENCE)
-    assert any(len(s) == 2 for s in kept)
+    base, score, kept = brute_tree(train, suffix_tree.DEPTH, (suffix_tree.CONTEXT_ROOT, suffix_tree.NEXT_ROOT, suffix_tree.WORD_ROOT), suffix_tree.DIVERGENCE)
+    assert max(map(len, kept)) >= 3
     for d, t in rows.items():
         assert got[d]["n_tokens"] == len(t)
         assert got[d]["base_score"] == pytest.approx(sum(math.log10(base(w)) for w in t), abs=1e-6)
         assert got[d]["score"] == pytest.approx(score(t), abs=1e-5)
 
 
+def test_longer_contexts_pay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = suffix_tree.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.15  # log10 a token
+
+
 def test_nearest_recall_and_ties(spark):
     dice = np.random.default_rng(4)
     x = np.vstack([dice.normal(size=(2500, 16)), np.repeat(dice.normal(size=(1, 16)), 300, axis=0)]) * dice.uniform(0.5, 2, (2800, 1)).round(1)
@@ -314,3 +320,140 @@ def test_join_spread_is_a_left_join(spark):
     table = rows.where("key is not null and key <> 'k3'").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     got = {tuple(r) for r in join_spread(rows, table, ["key"], "n", ["id"]).select("id", "key", "salt", "top").collect()}
     assert got == {tuple(r) for r in rows.join(table, "key", "left").select("id", "key", "salt", "top").collect()} and len(got) == 3000
+
+
+def test_vectors_with_large_norms_are_ordered_by_their_sums():
+    dice = np.random.default_rng(6)
+    q = dice.normal(size=(5, 64))
+    x = dice.normal(size=(400, 64)) * 1e8
+    x -= (x @ q[0])[:, None] * q[0] / (q[0] @ q[0])  # orthogonal to the first query, but for rounding
+    ids = dice.permutation(400).astype(np.int64)
+    found = kmeans_tree.best(q, np.full(5, -1), x, ids, 20)
+    for k in range(5):
+        score = np.zeros(400)
+        for d in range(64):
+            score += q[k, d] * x[:, d]
+        assert found[1][found[0] == k].tolist() == np.lexsort((ids, -score))[:20].tolist()
+
+
+def test_clustered_vectors_need_few_visits(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 100)
+    dice = np.random.default_rng(9)
+    centers = dice.normal(size=(60, 16))
+    x = centers[dice.integers(0, 60, 6000)] + 0.15 * dice.normal(size=(6000, 16))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = kmeans_tree.Index(vectors)
+    queries = index.placed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    visits = index.calibrated(queries, 20, kmeans_tree.RECALL)
+    assert index.tree.leaves >= 40 and visits < index.tree.leaves / 2
+    got = defaultdict(set)
+    for r in index.search(queries, 20, visits).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    exact = {q: set(sorted((k for k in range(6000) if k != q), key=lambda k: (-float(x[q] @ x[k]), k))[:20]) for q in got}
+    assert sum(len(got[q] & exact[q]) for q in got) >= 0.9 * sum(map(len, exact.values()))
+
+
+def test_neighbours_on_repeated_rows_and_clashing_columns(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)], "x", 1, 2.0) for k in range(60)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>")
+    odd = spark.createDataFrame([*rows, rows[20], rows[0]], "vec_id long, embedding array<double>, leaf string, vec int, score double")
+    got = sorted(map(tuple, kmeans_tree.nearest(odd).collect()))
+    assert {r[0] for r in got} == {0, 20, 40} and all(r[0] != r[2] for r in got)
+    assert [r for r in got if r[0] == 40 and r[1] == 1][0][2:] == [r for r in sorted(map(tuple, kmeans_tree.nearest(plain).collect())) if r[0] == 40 and r[1] == 1][0][2:]
+
+
+def test_urls_on_odd_tables(spark):
+    rows = [(1, "http://a.test/x", "q", True), (1, "http://a.test/x", "q", True), (None, "http://b.test", None, None), (2, None, None, None), (3, "http://c.test/" + "p" * 200_000 + "?q", "h", False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, listed boolean")
+    got = sorted((str(r["page_id"]), r["host"], len(r["path"]), r["verdict"]) for r in url_cascade.judge_urls(pages, [], ["a.test"]).collect())
+    assert got == [("1", "a.test", 2, "block"), ("1", "a.test", 2, "block"), ("2", "", 0, "allow"), ("3", "c.test", 200_001, "allow"), ("None", "b.test", 0, "allow")]
+    assert url_cascade.judge_urls(pages.limit(0), [("block", "a.test/")], ["a.test"]).count() == 0
+
+
+def test_quality_is_a_ridge_on_the_same_features(spark):
+    dice = np.random.default_rng(12)
+    x = dice.normal(size=(400, quality_rff.STATISTICS))
+    y = (x[:, 0] + 0.3 * dice.normal(size=400) > 0).astype(float)
+    fold = dice.integers(1, 5, 400)
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "x array<double>, y double, fold int").repartition(3)
+    model = quality_rff.fit(rows)
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(x.std(axis=0))
+    learn, rest = fold != quality_rff.CALIBRATES, fold == quality_rff.CALIBRATES
+    f = model.features(x[learn])
+    ridge = quality_rff.RIDGE * learn.sum() * np.eye(f.shape[1])
+    ridge[0, 0] = 1e-9
+    assert model.raw(x) == pytest.approx(np.clip(model.features(x) @ np.linalg.solve(f.T @ f + ridge, f.T @ y[learn]), -1, 2), abs=1e-6)
+    raw, mark = model.raw(x[rest]), y[rest]
+    order = np.argsort(raw)
+    steps = [[v, 1.0] for v in mark[order]]  # increasing means, by averaging neighbours that fall
+    k = 0
+    while k + 1 < len(steps):
+        if steps[k][0] >= steps[k + 1][0]:
+            a, b = steps[k], steps.pop(k + 1)
+            steps[k] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    assert model.worth == pytest.approx([s[0] for s in steps], abs=0.02)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    step = dict(corpus_pipeline.STAGES)
+    judged = {r["doc_id"]: r["kept"] for r in host_rules.judge_documents(docs).collect()}  # held against SQL
+    good = step["quality_rules"](spark, docs, SF)
+    assert {r["doc_id"]: r for r in good.collect()} == {d: r for d, r in rows.items() if judged[d]}
+    sets = {}
+    for r in good.collect():
+        w = tokens(r["text"])[:-1]
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    single = step["near_dedup"](spark, good, SF)
+    assert {r["doc_id"]: r for r in single.collect()} == {d: rows[d] for d in sets if group[d] == d}
+    masked = step["secret_scans"](spark, single, SF)
+    hidden = {r["doc_id"]: r["text"] for r in masked.collect()}
+    for r in single.collect():
+        own, spans = hidden[r["doc_id"]], secret_scan.find_secrets(r["text"])[1]
+        inside = {k for _, s, e in spans for k in range(s, e)}
+        assert all((o == "*" or c.isspace()) if k in inside else o == c for k, (o, c) in enumerate(zip(own, r["text"], strict=True)))
+    mixed = step["source_mix"](spark, masked, SF)
+    sizes = masked.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n")).collect()
+    want, words_of = targets_by_hand({r["source"]: r["n"] for r in sizes}), Counter()
+    texts_ = {r["doc_id"]: r["text"] for r in masked.collect()}
+    for r in mixed.collect():
+        assert texts_[r["doc_id"]].startswith(r["text"]) and len(r["text"]) == r["n_chars"] or r["text"] == texts_[r["doc_id"]]
+        words_of[r["source"]] += len(re.findall(mixing.WORD, r["text"]))
+    assert all(abs(words_of[s] - want[s]) <= 0.01 * want[s] + 2 for s in want)
+    packed = step["best_fit_packing"](spark, mixed, SF).collect()
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(VOCABULARY)
+    lengths = Counter()
+    for r in mixed.collect():
+        lengths[(r["doc_id"], len(ids.encode(r["text"], add_special_tokens=False).ids) + 1)] += 1
+    pieces = Counter()
+    for r in packed:
+        pieces[r["doc_id"]] += r["length"]
+    total = Counter()
+    for (d, n), times in lengths.items():
+        total[d] += n * times
+    assert pieces == total
+
+
+def test_long_texts(spark):
+    dice = np.random.default_rng(3)
+    long = " ".join(f"w{k}" for k in dice.integers(0, 50_000, 400_000))
+    near = long.replace(" w7 ", " w8 ")
+    secret = long + " token=abcdef123456"
+    docs = spark.createDataFrame([(1, long, "a"), (2, near, "a"), (3, secret, "b"), (4, "x" * 3_000_000, "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.link_documents(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert [r["n_assign"] for r in secret_scan.scan_documents(docs).orderBy("doc_id").collect()] == [0, 0, 1, 0]
+    assert {r["doc_id"]: r["n_words"] for r in host_rules.judge_documents(docs).collect()} == {1: 400_000, 2: 400_000, 3: 400_001, 4: 1}
+    assert sum(r["length"] for r in packing.pack_documents(docs.where("doc_id < 3"), VOCABULARY).collect()) > 800_000
+    assert suffix_tree.score_documents(docs).agg(F.sum("n_tokens")).first()[0] == 1_200_001 + 1 + 4

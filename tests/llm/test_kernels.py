@@ -224,6 +224,31 @@ def test_ids_are_the_vocabulary_librarys(batch):
     assert [np.frombuffer(b, "<u4").tolist() for b in fast.ids(batch)] == [e.ids for e in exact.encode_batch(batch, add_special_tokens=False)]
 
 
+def test_placing_is_the_sum_of_squares_rule():
+    dice = np.random.default_rng(15)
+    for capacity in (10, 30):
+        lengths = np.sort(dice.integers(1, capacity, 300))[::-1]
+        gaps, want = [], []  # of every sequence opened so far
+        for w in lengths.tolist():
+            count = Counter(g for g in gaps if g)
+            fitting = []
+            for g in sorted({g for g in gaps if g >= w}):
+                after = count.copy()
+                after[g] -= 1
+                after[g - w] += g > w
+                fitting.append((sum(c * c for k, c in after.items() if k), g - w))
+            if fitting:
+                gap = min(fitting)[1] + w
+                spot = [k for k, g in enumerate(gaps) if g == gap]
+                want.append(capacity - gap)
+                gaps[spot[-1]] -= w  # which of them makes no difference to the counts
+            else:
+                want.append(0)
+                gaps.append(capacity - w)
+        sequence, offset = packing.place(lengths, capacity)
+        assert sequence.max() + 1 == len(gaps) and offset.tolist() == want
+
+
 def test_packing_fills_sequences():
     dice = np.random.default_rng(5)
     lengths = np.sort(dice.integers(1, 1024, 4000))[::-1]
