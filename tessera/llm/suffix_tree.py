@@ -8,7 +8,7 @@ word of the corpus. Depth goes on while contexts pass.
 What is often enough grows with the square root of the corpus, so the tree grows with it too: from N tokens at most
 sqrt(N) / CONTEXT_ROOT contexts of each length, sqrt(N) / NEXT_ROOT next words and sqrt(N) / WORD_ROOT frequent words. The tree
 travels to the tasks (some megabytes from 10^8 tokens, ten times as much from 10^10), while the whole vocabulary stays a table
-that rare words are joined to.
+that rare words are joined to. Texts are read twice, to count words and to number the frequent ones; after that, passes read numbers.
 """
 
 from __future__ import annotations
@@ -92,13 +92,40 @@ class Tree:
             here = np.full(len(word), -1, dtype=np.int64)
             if len(word) > n + 1:
                 parent = np.zeros(len(word) - 1, dtype=np.int64) if n == 0 else out[-1][:-1]
-                ok = (row[1:] == row[:-1]) & (parent >= 0) & (word[:-1] >= 0)
-                found = find(level.key, np.where(ok, parent * self.width + word[:-1], -1))
-                here[1:] = np.where(ok, found, -1)
+                ok = np.flatnonzero((row[1:] == row[:-1]) & (parent >= 0) & (word[:-1] >= 0))
+                here[1 + ok] = find(level.key, parent[ok] * self.width + word[ok])
             out.append(here)
         return out
 
 
+#: Tokens that are worked on together; a longer text alone.
+TOKENS_AT_ONCE = 1 << 20
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], word: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each text the numbers of its tokens (-1: no frequent word) as 32-bit integers, and the hashes of the others."""
+    for batch in batches:
+        for first, rows, token, row in sequences(batch.column(2)):
+            number = find(word, token).astype("<i4")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+            rare = np.concatenate([[0], np.cumsum(np.bincount(row[number < 0], minlength=rows))])
+            ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(number)])
+            others = pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(texts.signed(token[number < 0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), ids, others], names=["doc_id", "learns", "ids", "rare"])
+
+
+def _numbers(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, token numbers, row of each token) of a column that _numbered made."""
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, at = np.frombuffer(column.buffers()[2], dtype=np.uint8), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 4 * TOKENS_AT_ONCE, side="right")) - 1)
+        yield at, to - at, data[offsets[at] : offsets[to]].view("<i4").astype(np.int64), np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]) // 4)
+        at = to
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = [t for _, _, t, _ in sequences(batch.column(0))]
@@ -108,13 +135,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _next_counts(batches: Iterator[pa.RecordBatch], tree: Tree, least: int) -> Iterator[pa.RecordBatch]:
     """How often each next word follows each context of the tree's longest length."""
+    often = np.append(tree.count >= least, False)  # the last for -1
     for batch in batches:
         keys = []
-        for _, _, token, row in sequences(batch.column(0)):
-            word = find(tree.word, token)
+        for _, _, word, row in _numbers(batch.column(0)):
             context = tree.contexts(word, row)[-1]
-            after = np.where((word >= 0) & (tree.count[word] >= least), word, tree.width - 1)
-            keys.append(context[context >= 0] * tree.width + after[context >= 0])
+            there = np.flatnonzero(context >= 0)
+            after = np.where(often[word[there]], word[there], tree.width - 1)
+            keys.append(context[there] * tree.width + after)
         key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
@@ -157,13 +185,22 @@ def _settle(tree: Tree, total: np.ndarray, divergence: float) -> None:
     level.next_log = np.log10(level.next_count / (total + kinds)[context] + down[context] * lower)
 
 
-def learn(texts_: DataFrame, counts: DataFrame, depth: int = DEPTH, roots: tuple[float, float, float] = (CONTEXT_ROOT, NEXT_ROOT, WORD_ROOT), divergence: float = DIVERGENCE) -> Tree:
-    """A tree from a table with one text column and the staged counts of its words (key, n). One pass over the texts per length."""
+def least_counts(tokens: int, roots: tuple[float, float, float] = (CONTEXT_ROOT, NEXT_ROOT, WORD_ROOT)) -> tuple[int, int, int]:
+    """Occurrences that a context, a next word and a frequent word need."""
+    return tuple(max(least, int(root * tokens**0.5)) for root, least in zip(roots, (LEAST_CONTEXT, LEAST_NEXT, 1), strict=True))
+
+
+def root_of(counts: DataFrame) -> Tree:
+    """The tree without contexts, from the staged counts of words (key, n)."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    of_context, of_next, of_word = (max(least, int(root * tokens**0.5)) for root, least in zip(roots, (LEAST_CONTEXT, LEAST_NEXT, 1), strict=True))
-    word, count = _arrays(counts.where(F.col("n") >= of_word).select(F.col("key").alias("key"), "n"))
+    word, count = _arrays(counts.where(F.col("n") >= least_counts(tokens)[2]).select(F.col("key").alias("key"), "n"))
     order = np.argsort(word.view(U))
-    tree = Tree(word.view(U)[order], count[order], tokens, distinct)
+    return Tree(word.view(U)[order], count[order], tokens, distinct)
+
+
+def grow(tree: Tree, ids: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
+    """The tree with its contexts, from a table with the token numbers of the training texts. One pass over it per length."""
+    of_context, of_next, _ = least_counts(tree.tokens)
     last_words = np.flatnonzero((tree.count >= of_context) & (tree.word != U(texts.END)))
     parents, suffixes = np.zeros(len(last_words), dtype=np.int64), np.zeros(len(last_words), dtype=np.int64)
     for n in range(depth):
@@ -173,7 +210,7 @@ def learn(texts_: DataFrame, counts: DataFrame, depth: int = DEPTH, roots: tuple
         if not len(key):
             tree.levels.pop()
             break
-        found = _summed(texts_.mapInArrow(lambda it, tree=tree: _next_counts(it, tree, of_next), "key long, n long"), f"next-{n + 1}")
+        found = _summed(ids.mapInArrow(lambda it, tree=tree: _next_counts(it, tree, of_next), "key long, n long"), f"next-{n + 1}")
         level.next_key, level.next_count = _arrays(found.where((F.col("n") >= of_next) & (F.col("key") % tree.width != tree.width - 1)))
         whole = found.groupBy(F.expr(f"key div {tree.width}").alias("context")).agg(F.sum("n").alias("n"))
         total = np.zeros(len(key), dtype=np.int64)
@@ -197,12 +234,11 @@ def learn(texts_: DataFrame, counts: DataFrame, depth: int = DEPTH, roots: tuple
 def _scores(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
     base = tree.log_base(tree.count)
     for batch in batches:
-        for first, rows, token, row in sequences(batch.column(1)):
-            word = find(tree.word, token)
+        for first, rows, word, row in _numbers(batch.column(2)):
             context = tree.contexts(word, row)
             rare = word < 0
             root = np.where(rare, 0.0, base[word] if len(base) else 0.0)
-            score, settled = np.zeros(len(token)), np.zeros(len(token), dtype=bool)
+            score, settled = np.zeros(len(word)), np.zeros(len(word), dtype=bool)
             for level, at in zip(tree.levels[::-1], context[::-1], strict=True):
                 ask = np.flatnonzero((at >= 0) & ~settled)
                 ask = ask[level.kept[at[ask]]]
@@ -210,18 +246,9 @@ def _scores(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
                 score[ask] += np.where(hit >= 0, level.next_log[hit] if len(level.next_log) else 0.0, level.down_log[at[ask]])
                 settled[ask[hit >= 0]] = True
             score += np.where(settled, 0.0, root)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=rows))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(first, rows),
-                    pa.array(texts.by_row(row, rows)),
-                    pa.array(texts.by_row(row[~rare], rows)),
-                    pa.array(np.bincount(row, root, rows)),
-                    pa.array(np.bincount(row, score, rows)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(texts.signed(token[rare]))),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
-            )
+            known = [batch.column(k).slice(first, rows) for k in (0, 1)]
+            sums = [texts.by_row(row, rows), texts.by_row(row[~rare], rows), np.bincount(row, root, rows), np.bincount(row, score, rows)]
+            yield pa.RecordBatch.from_arrays([*known, *map(pa.array, sums)], names=["doc_id", "row", "n_tokens", "n_known", "base", "score"])
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -233,16 +260,20 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     probability 1. An empty table gives an empty result; other columns are not read.
     """
     held_out = crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT
-    training = docs.where(~held_out).select("text")
-    counts = _summed(training.mapInArrow(_word_counts, "key long, n long"), "word-counts")
-    tree = learn(training, counts, depth)
-    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("rare", T.ArrayType(T.LongType()))
-    scored = stage(docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, tree), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key"))
+    counts = _summed(docs.where(~held_out).select("text").mapInArrow(_word_counts, "key long, n long"), "word-counts")
+    tree = root_of(counts)
+    word, own = tree.word, docs.select("doc_id").schema
+    schema = T.StructType([*own, *T.StructType.fromDDL("learns boolean, ids binary, rare array<long>")])
+    read = docs.select("doc_id", (~held_out).alias("learns"), "text").mapInArrow(lambda it: _numbered(it, word), schema)
+    ids = stage(read.withColumn("row", F.monotonically_increasing_id()), "token-numbers")
+    tree = grow(tree, ids.where("learns").select("ids"), depth)
+    schema = T.StructType([*own, *T.StructType.fromDDL("row long, n_tokens long, n_known long, base double, score double")])
+    scored = stage(ids.select("doc_id", "row", "ids").mapInArrow(lambda it: _scores(it, tree), schema), "scored")
+    rare = ids.select("row", F.explode("rare").alias("key"))
     n = F.coalesce(F.col("n"), F.lit(0))
     log = F.log10((n + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
     late = rare.join(counts, "key", "left").groupBy("row").agg(F.sum(log).alias("late"), F.count("n").alias("late_known"))
-    whole = scored.drop("rare").join(late, "row", "left")
+    whole = scored.join(late, "row", "left")
     more = F.coalesce("late", F.lit(0.0))
     return whole.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
