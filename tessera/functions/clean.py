@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +45,17 @@ def to_flag(c: Column, on_off: bool = False, default: bool | None = None) -> Col
     return F.coalesce(value, F.lit(default)) if default is not None else value
 
 
+#: What becomes of a header's characters, in this order, once it is in lower case.
+HEADER_STEPS = [(r"^\s+|\s+$", ""), (r"[\s-]+", "_"), (r"[^a-z0-9_]+", ""), (r"_+", "_"), (r"^_|_$", "")]
+
+
 def header_name(c: Column) -> Column:
-    name = F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
-    return F.regexp_replace(F.regexp_replace(name, r"[^a-z0-9_]", ""), "_+", "_")
+    return reduce(lambda name, step: F.regexp_replace(name, *step), HEADER_STEPS, F.lower(c))
+
+
+def header_names(df: DataFrame) -> list[str]:
+    """header_name of the column names themselves."""
+    return [reduce(lambda name, step: re.sub(*step, name), HEADER_STEPS, c.lower()) for c in df.columns]
 
 
 def path_key(c: Column) -> Column:
@@ -60,8 +71,8 @@ def parent_folder(c: Column) -> Column:
     return F.regexp_extract(c, r"^(.*)[/\\][^/\\]*$", 1)
 
 
-def safe_name(c: Column, fallback: str = "unnamed") -> Column:
-    name = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
+def safe_name(c: Column, fallback: str = "unnamed", filler: str = "_") -> Column:
+    name = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", filler), r"^[._-]+|[._-]+$", "")
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(fallback))
 
 
@@ -72,7 +83,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 
 def row_id(alias: Column, number: Column) -> Column:
-    return F.coalesce(alias, F.concat(F.lit("row-"), F.lpad(number.cast("string"), 6, "0")))
+    return F.coalesce(alias, F.format_string("row-%06d", number))
 
 
 def frame_key(path: Column, source: Column, index: Column, seconds: Column) -> Column:
@@ -86,30 +97,71 @@ def frame_key(path: Column, source: Column, index: Column, seconds: Column) -> C
     )
 
 
-#: How capture times are written in file names, and how each reads; tried in this order.
+#: How capture times are written in file names, tried in this order. The last two have no time of day.
 NAME_TIMES = [
-    (r"(\d{4})-(\d{2})-(\d{2})[_ T](\d{2})-(\d{2})-(\d{2})", "yyyy-MM-dd HH:mm:ss"),
-    (r"(\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})", "yyyy-MM-dd HH:mm:ss"),
-    (r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})_(\d{2})", "yyyy-MM-dd HH:mm:ss"),
-    (r"(?<!\d)(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?!\d)", "yyyy-MM-dd HH:mm:ss"),
+    r"(20\d{2})(\d{2})(\d{2})[_\- ]?(\d{2})(\d{2})(\d{2})",
+    r"(20\d{2})[_\-](\d{2})[_\-](\d{2})[_\- ](\d{2})[_\-](\d{2})[_\-](\d{2})",
+    r"(20\d{2})[_\-](\d{2})[_\-](\d{2})",
+    r"(20\d{2})(\d{2})(\d{2})",
 ]
+#: Date, time and offset of ISO text; any one character stands between date and time.
+ISO_TIME = r"^(\d{4}-\d{2}-\d{2})(?:.(\d{2}:\d{2})(:\d{2})?(?:[.,]\d+)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 
 def name_time(c: Column) -> Column:
     """Capture time in a file name; a pattern whose digits make no date gives way to the next."""
-    base = F.element_at(F.split(c, r"[/\\]"), -1)
+    base = F.element_at(F.split(F.regexp_replace(c, r"[/\\]+$", ""), r"[/\\]"), -1)
     tries = []
-    for pattern, form in NAME_TIMES:
-        part = [F.regexp_extract(base, pattern, k) for k in range(1, 7)]
+    for pattern in NAME_TIMES:
+        groups = pattern.count("(")
+        part = [F.regexp_extract(base, pattern, k) if k <= groups else F.lit("00") for k in range(1, 7)]
         text = F.concat(part[0], F.lit("-"), part[1], F.lit("-"), part[2], F.lit(" "), part[3], F.lit(":"), part[4], F.lit(":"), part[5])
-        tries.append(F.when(base.rlike(pattern), F.try_to_timestamp(text, F.lit(form))))
+        tries.append(F.when(base.rlike(pattern), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))))
+    return F.coalesce(*tries)
+
+
+def any_time(*values: Column) -> Column:
+    """The first of some texts that tells a time, as ISO text to the second: it is ISO text itself (an offset stays), or a file name."""
+    tries = []
+    for value in values:
+        date, clock, second, offset = (F.regexp_extract(value, ISO_TIME, k) for k in range(1, 5))
+        whole = F.concat(date, F.lit(" "), F.coalesce(F.nullif(clock, F.lit("")), F.lit("00:00")), F.coalesce(F.nullif(second, F.lit("")), F.lit(":00")))
+        iso = F.try_to_timestamp(F.when(value.rlike(ISO_TIME), whole), F.lit("yyyy-MM-dd HH:mm:ss"))
+        shown = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+        tries += [F.concat(shown(iso), F.when(offset == "Z", "+00:00").otherwise(offset)), shown(name_time(value))]
     return F.coalesce(*tries)
 
 
+def fixed_digits(c: Column, digits: int) -> Column:
+    """A number with so many digits behind the point; blank if missing or not finite."""
+    fine = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.when(fine, F.format_string(f"%.{digits}f", c)).otherwise("")
+
+
+def number_list(c: Column, default: list[float]) -> Column:
+    """Numbers apart by commas or semicolons, blank ones left out; the default if none is there."""
+    pieces = F.filter(F.transform(F.split(c, "[;,]"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    values = F.transform(pieces, lambda p: p.try_cast("double"))
+    return F.when(F.size(values) > 0, values).otherwise(F.array(*map(F.lit, default)))
+
+
+def first_distinct(values: Column, order: Column, most: int = 12) -> Column:
+    """Aggregate: the first `most` distinct filled texts in the order given, joined by semicolons. Keeps one entry per distinct text and order."""
+    text = blank_to_null(values)
+    pairs = F.array_sort(F.collect_set(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t")))))
+    return F.array_join(F.slice(F.array_distinct(F.transform(pairs, lambda p: p["t"])), 1, most), ";")
+
+
+def under_folder(path: Column, root: Column) -> Column:
+    """Whether a path is a folder or lies in it, by path_key."""
+    inner, outer = path_key(path), F.regexp_replace(path_key(root), r"\\+$", "")
+    return (inner == outer) | inner.startswith(F.concat(outer, F.lit("\\")))
+
+
 def auto_number(c: Column, prefix: str = "Bird", digits: int = 5) -> Column:
     """Number of a canonical name such as Bird00042, else null."""
     return F.when(c.rlike(f"^{prefix}[0-9]{{{digits}}}$"), F.substring(c, len(prefix) + 1, digits).try_cast("int"))
 
 
 def auto_name(number: Column, prefix: str = "Bird", digits: int = 5) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
+    return F.format_string(f"{prefix}%0{digits}d", number)

@@ -28,6 +28,16 @@ def retention_score(role: Column, confidence: Column, width: Column, height: Col
     ).cast("double")
 
 
+def legacy_animals(detections: DataFrame, class_id: str, confidence: str, animal: int, least: float) -> DataFrame:
+    """Detections of the animal class with enough confidence."""
+    return detections.where((F.col(class_id) == animal) & (F.col(confidence) >= least))
+
+
+def legacy_score(score: Column) -> Column:
+    """The earlier form of the score: within 0 to 100, two digits."""
+    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
+
+
 def retention_reasons(role: Column, confidence: Column, width: Column, height: Column, area: Column) -> Column:
     """Why the score is what it is, in the order of its parts, joined by bars."""
     parts = [
@@ -41,7 +51,7 @@ def retention_reasons(role: Column, confidence: Column, width: Column, height: C
 
 def role_of(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    return F.when(low.contains("animal") | low.contains("bird"), "animal").when(low.contains("person") | low.contains("human"), "person").when(low.contains("vehicle"), "vehicle").otherwise("other")
+    return F.when(low.contains("animal") | low.contains("bird"), "animal").when(low.contains("person") | low.contains("human"), "person").when(low.rlike("vehicle|car|truck|bus"), "vehicle").otherwise("other")
 
 
 def length_observation(df: DataFrame, least_likelihood: float = 0.3) -> DataFrame:

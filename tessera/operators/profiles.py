@@ -17,7 +17,8 @@ def profile_stats(df: DataFrame, name: str, event: str, seen: str, seconds: str)
 
 def duration_text(seconds: Column) -> Column:
     """Below a minute seconds to one digit, from there whole minutes and seconds; TBD if unknown."""
-    short = F.concat(F.bround(seconds, 1).cast("string"), F.lit(" sec"))
+    tie = seconds * 4 == F.floor(seconds * 4)  # only quarters are exact ties; those go to the even digit
+    short = F.concat(F.when(tie, F.bround(seconds, 1)).otherwise(F.round(seconds, 1)).cast("string"), F.lit(" sec"))
     long = F.concat(F.floor(seconds / 60), F.lit(" min "), F.floor(seconds % 60), F.lit(" sec"))
     return F.when(seconds < 60, short).when(seconds >= 60, long).otherwise("TBD")
 

@@ -49,6 +49,47 @@ def nearest(vectors: DataFrame, k: int = 8, rows: int | None = None) -> DataFram
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _pairs(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of two blocks, each pair once with the smaller id first, of at least the cosine given."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"a": [], "b": [], "cosine": []})
+    sim, x, y = _cosines(a, b), a["id"].to_numpy(), b["id"].to_numpy()
+    wanted = sim >= least
+    if a["block_a"].iloc[0] == b["block_b"].iloc[0]:
+        wanted &= x[:, None] < y[None, :]
+    i, j = np.nonzero(wanted)
+    return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "cosine": sim[i, j]})
+
+
+PAIR = "a long, b long, cosine double"
+
+
+def pairs_above(vectors: DataFrame, least: float, rows: int | None = None) -> DataFrame:
+    """All pairs (a < b) of vectors (id, vec) whose cosine is at least so much."""
+    return in_cells(vectors, vectors, "id", lambda a, b: _pairs(a, b, least), PAIR, rows or vectors.count(), once=True)
+
+
+def best_pairs(vectors: DataFrame, k: int, differ: int | None = None, rows: int | None = None) -> DataFrame:
+    """The k best of all pairs (a < b) with their rank, ties to the smaller ids; differ: pairs whose ids are equal div this are left out.
+
+    Every block cell gives its k best, so what is ranked at last is k rows a cell, and no pair is left out before it is scored.
+    """
+
+    def keep(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        pairs = _pairs(a, b, -2.0)
+        pairs = pairs[pairs["a"] // differ != pairs["b"] // differ] if differ else pairs
+        return pairs.sort_values(["cosine", "a", "b"], ascending=[False, True, True]).head(k)
+
+    found = in_cells(vectors, vectors, "id", keep, PAIR, rows or vectors.count(), once=True)
+    order = [F.col("cosine").desc(), "a", "b"]
+    return found.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # k rows
+
+
+def with_place(few: DataFrame, order: list) -> DataFrame:
+    """A short listing (limited by its caller) with the place of each row."""
+    return few.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
 def ordered_pairs(vectors: DataFrame, most: int) -> DataFrame:
     """The first `most` pairs (i < j, in order) of rows numbered by id, with cosine and rank.
 
@@ -87,10 +128,10 @@ def best_before(vectors: DataFrame, threshold: float, rows: int | None = None) -
     return joined.select("id", F.when(matched, F.col("best")).alias("match"), "cosine", F.when(matched, "match").otherwise("new").alias("decision"))
 
 
-def best_between(vectors: DataFrame, threshold: float, per_name: int = 25, most: int = 200, anchor: int | None = None) -> DataFrame:
-    """Of every two names the best pair of vectors (name, id, vec), at most per_name vectors a name, best pairs first."""
+def best_between(vectors: DataFrame, threshold: float, per_name: int | None = None, most: int = 200, anchor: int | None = None) -> DataFrame:
+    """Of every two names the best pair of vectors (name, id, vec), best pairs first; per_name: only the first so many vectors of a name."""
     first = F.row_number().over(W.partitionBy("name").orderBy("id"))
-    few = vectors.withColumn("n", first).where(F.col("n") <= per_name).drop("n")
+    few = vectors.withColumn("n", first).where(F.col("n") <= per_name).drop("n") if per_name else vectors
     left = few.where(F.col("name") == anchor) if anchor is not None else few
 
     def keep(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

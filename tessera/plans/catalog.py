@@ -9,7 +9,7 @@ from tessera.functions import clean, ladders, plane
 from tessera.operators import audit, clusters, frames, fusion, identity, measures, profiles, similarity, species
 from tessera.plans.registry import query, read
 
-PAIRS, EDGE, CLUSTER = 50_000, 0.30, 0.40
+PAIRS, EDGE, CLUSTER = 1000, 0.30, 0.40  # PAIRS: rows of the report of best pairs
 TAXA = ["a;aves;caprimulgiformes;trochilidae;calypte;anna;anna's hummingbird", "a;aves;caprimulgiformes;trochilidae;;;hummingbird", "a;aves;;;;;bird", ";;;;;;blank"]
 TAXA_SQL = "(VALUES " + ", ".join("({}, '{}')".format(k, t.replace("'", "''")) for k, t in enumerate(TAXA)) + ") x(k, label)"
 COSINES = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -20,10 +20,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("name"))
 
 
-@query(f"""{COSINES}, q AS (SELECT *, row_number() OVER (ORDER BY a, b) AS pair FROM p WHERE a < b)
-    SELECT pair, a, b, cosine, row_number() OVER (ORDER BY cosine DESC, pair) AS rank FROM q WHERE pair <= {PAIRS}""")
+@query(f"""{COSINES} SELECT a, b, cosine, row_number() OVER (ORDER BY cosine DESC, a, b) AS rank FROM p WHERE a < b ORDER BY rank LIMIT {PAIRS}""")
 def pair_rank(spark, sf_dir):
-    return similarity.ordered_pairs(vectors(spark, sf_dir).drop("name"), PAIRS)
+    return similarity.best_pairs(vectors(spark, sf_dir).drop("name"), PAIRS)
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id),
+    p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.id < b.id ORDER BY a.id, b.id LIMIT 3000),
+    q AS (SELECT *, row_number() OVER (ORDER BY a, b) AS pair FROM p)
+    SELECT pair, a, b, cosine, row_number() OVER (ORDER BY cosine DESC, pair) AS rank FROM q""")
+def first_pairs(spark, sf_dir):
+    """The listing with a work bound, which is its feature."""
+    return similarity.ordered_pairs(vectors(spark, sf_dir).drop("name"), 3000)
 
 
 @query(f"{COSINES} SELECT a AS query, b AS id, cosine, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM p QUALIFY rank <= 8")
@@ -38,7 +46,7 @@ def best_prior_match(spark, sf_dir):
     return similarity.best_before(vectors(spark, sf_dir).drop("name"), EDGE)
 
 
-BETWEEN = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS name FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 25),
+BETWEEN = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS name FROM embeddings),
     p AS (SELECT a.name AS name_a, b.name AS name_b, a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a, e b WHERE {0}),
     r AS (SELECT * FROM p WHERE cosine >= 0.3 QUALIFY row_number() OVER (PARTITION BY name_a, name_b ORDER BY cosine DESC, id_a, id_b) = 1)
     SELECT * FROM r ORDER BY cosine DESC, name_a, name_b LIMIT 200"""
@@ -54,18 +62,16 @@ def identity_pair_best_anchor(spark, sf_dir):
     return similarity.best_between(vectors(spark, sf_dir), EDGE, anchor=0)
 
 
-@query(f"""{COSINES}, q AS (SELECT a, b, cosine, row_number() OVER (ORDER BY a, b) AS pair FROM p WHERE a < b)
-    SELECT pair, a, b, cosine FROM q WHERE pair <= {PAIRS} AND a // 5 <> b // 5 ORDER BY cosine DESC, pair LIMIT 15""")
+@query(f"""{COSINES} SELECT a, b, cosine FROM p WHERE a < b AND a // 5 <> b // 5 ORDER BY cosine DESC, a, b LIMIT 15""")
 def cascade_verify_select(spark, sf_dir):
-    pairs = similarity.ordered_pairs(vectors(spark, sf_dir).drop("name"), PAIRS)
-    return pairs.where(F.floor(F.col("a") / 5) != F.floor(F.col("b") / 5)).orderBy(F.col("cosine").desc_nulls_last(), "pair").limit(15).drop("rank")
+    return similarity.best_pairs(vectors(spark, sf_dir).drop("name"), 15, differ=5).drop("rank")
 
 
-@query(f"""{COSINES}, q AS (SELECT a, b, cosine, row_number() OVER (ORDER BY a, b) AS pair FROM p WHERE a < b),
+@query(f"""{COSINES}, q AS (SELECT a, b, cosine, a * 10000000 + b AS pair FROM p WHERE a < b AND cosine >= {EDGE}),
     s AS (SELECT pair, a, b, a // 5 = b // 5 AS differ, greatest(0, least(1, cosine)) AS vision,
         CASE WHEN pair % 3 <> 0 THEN greatest(0, least(1, 1 - abs(x.p_retailprice - y.p_retailprice) / 400)) END AS points,
         CASE WHEN pair % 4 <> 0 THEN greatest(0, least(1, 1 - abs(x.p_size - y.p_size) / 15.0)) END AS measure
-      FROM q JOIN part x ON x.p_partkey = a + 1 JOIN part y ON y.p_partkey = b + 1 WHERE pair <= {PAIRS}),
+      FROM q JOIN part x ON x.p_partkey = a + 1 JOIN part y ON y.p_partkey = b + 1),
     f AS (SELECT *, coalesce(0.7 * points + 0.3 * vision, points, vision) AS base FROM s),
     g AS (SELECT pair, a, b, CASE WHEN NOT differ THEN round(base + 1e-9, 6) END AS fusion,
         CASE WHEN NOT differ THEN round(greatest(0, least(1, base + CASE WHEN measure >= 0.8 THEN 0.05 WHEN measure >= 0.5 THEN 0.02 WHEN measure <= 0.05 THEN -0.12 WHEN measure <= 0.25 THEN -0.06 ELSE 0 END)) + 1e-9, 6) END AS fusion_measures,
@@ -75,7 +81,7 @@ def cascade_verify_select(spark, sf_dir):
       CASE WHEN differ THEN 'blocked' WHEN measures IS NULL THEN 'unranked' WHEN measures >= 0.8 THEN 'measures_top' WHEN measures >= 0.5 THEN 'measures_candidate' WHEN measures > 2e-9 THEN 'measures_weak' ELSE 'measures_low' END AS measures_bucket
     FROM g""")
 def fusion_recipes(spark, sf_dir):
-    pairs = similarity.ordered_pairs(vectors(spark, sf_dir).drop("name"), PAIRS)
+    pairs = similarity.pairs_above(vectors(spark, sf_dir).drop("name"), EDGE).withColumn("pair", F.col("a") * 10_000_000 + F.col("b"))
     part = read(spark, sf_dir, "part")
     side = lambda n: part.select((F.col("p_partkey") - 1).alias(n), F.col("p_retailprice").alias(f"price_{n}"), F.col("p_size").alias(f"size_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -100,27 +106,14 @@ def known_different(spark, sf_dir):
 
 def _edges(spark, sf_dir, least):
     v = vectors(spark, sf_dir).drop("name")
-    from tessera.operators.blocks import in_cells, matrix
-
-    def keep(a, b):
-        import numpy as np
-        import pandas as pd
-
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        x, y = matrix(a["vec"]), matrix(b["vec"])
-        sim = np.round(x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]), 6)
-        i, j = np.nonzero((sim >= least) & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]))
-        return pd.DataFrame({"a": a["id"].to_numpy()[i], "b": b["id"].to_numpy()[j], "score": sim[i, j]})
-
-    return v, in_cells(v, v, "id", keep, "a long, b long, score double", v.count())
+    return v, similarity.pairs_above(v, least).withColumnRenamed("cosine", "score")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
     l AS (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE a.id <> b.id AND round(list_cosine_similarity(a.v, b.v), 6) >= {CLUSTER}),
     r(id, other) AS (SELECT id, id FROM e UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
     c AS (SELECT id, min(other) AS root FROM r GROUP BY id), s AS (SELECT root, count(*) AS size FROM c GROUP BY root),
-    n AS (SELECT root, size, 'Cluster' || lpad((row_number() OVER (ORDER BY size DESC, root))::VARCHAR, 5, '0') AS cluster FROM s)
+    n AS (SELECT root, size, printf('Cluster%05d', row_number() OVER (ORDER BY size DESC, root)) AS cluster FROM s)
     SELECT id, root, size, cluster FROM c JOIN n USING (root)""")
 def clusters_unconstrained(spark, sf_dir):
     v, edges = _edges(spark, sf_dir, CLUSTER)
@@ -295,7 +288,7 @@ def running_budget(spark, sf_dir):
     return frames.within_budget(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], "n_chars", 1_000_000, 500).drop("n_chars")
 
 
-@query("""SELECT i AS number, 'Bird' || lpad(i::VARCHAR, 5, '0') AS name FROM range(1, 100000) t(i) WHERE i NOT IN (SELECT doc_id FROM labels) ORDER BY i LIMIT 50""")
+@query("""SELECT i AS number, printf('Bird%05d', i) AS name FROM range(1, 100000) t(i) WHERE i NOT IN (SELECT doc_id FROM labels) ORDER BY i LIMIT 50""")
 def autoname_gaps(spark, sf_dir):
     return identity.free_numbers(read(spark, sf_dir, "labels"), "doc_id", 50)
 

@@ -11,7 +11,7 @@ from tessera.operators.numbering import numbered
 from tessera.plans.registry import query, read
 
 #: A review queue made of events: identity by user, five states and none, notes on some.
-QUEUE_SQL = """q AS (SELECT event_id AS id, 'Bird' || lpad(user_id::VARCHAR, 5, '0') AS identity, ['sandbox', 'active', 'multibird', 'low_quality', 'false_positive', NULL, 'provisional'][event_id % 7 + 1] AS identity_status,
+QUEUE_SQL = """q AS (SELECT event_id AS id, printf('Bird%05d', user_id) AS identity, ['sandbox', 'active', 'multibird', 'low_quality', 'false_positive', NULL, 'provisional'][event_id % 7 + 1] AS identity_status,
     ['auto', 'new', NULL][event_id % 3 + 1] AS review_status, '' AS training_label, CASE event_id % 4 WHEN 0 THEN 'seen' WHEN 1 THEN '' END AS notes, CASE WHEN event_id % 6 <> 0 THEN value END AS score, 'crop' || event_id AS path FROM events)"""
 STATES = ["sandbox", "active", "multibird", "low_quality", "false_positive", None, "provisional"]
 
@@ -30,7 +30,7 @@ def listing_order(spark, sf_dir):
     return numbered(queue(spark, sf_dir), curation.listing_order("identity", "identity_status", "score", "path"), "place").select("id", "place")
 
 
-@query("""WITH n AS (SELECT DISTINCT CASE WHEN user_id % 4 = 0 THEN 'Zed ' || user_id ELSE 'Bird' || lpad(user_id::VARCHAR, 5, '0') END AS name, user_id FROM events)
+@query("""WITH n AS (SELECT DISTINCT CASE WHEN user_id % 4 = 0 THEN 'Zed ' || user_id ELSE printf('Bird%05d', user_id) END AS name, user_id FROM events)
     SELECT name, row_number() OVER (ORDER BY user_id % 4 = 0, CASE WHEN user_id % 4 <> 0 THEN user_id END, lower(name)) AS place FROM n""")
 def natural_name_order(spark, sf_dir):
     user = F.col("user_id")
@@ -177,7 +177,7 @@ def used_numbers(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'row' || doc_id END AS a, CASE doc_id % 3 WHEN 0 THEN 'Vids/' || doc_id || '/F.PNG' END AS p, source FROM documents)
-    SELECT doc_id, coalesce(a, 'row-' || lpad(doc_id::VARCHAR, 6, '0')) AS row_id, CASE WHEN a IS NULL THEN NULL ELSE 'name' END AS came_from,
+    SELECT doc_id, coalesce(a, printf('row-%06d', doc_id)) AS row_id, CASE WHEN a IS NULL THEN NULL ELSE 'name' END AS came_from,
       coalesce(replace(lower(p), '/', chr(92)), CASE WHEN doc_id % 3 = 1 THEN source || '::frame::' || doc_id % 50 WHEN doc_id % 3 = 2 THEN source || '::time::' || doc_id % 9 || '.5' END, '') AS frame_key FROM d""")
 def normalised_manifest(spark, sf_dir):
     d = F.col("doc_id")

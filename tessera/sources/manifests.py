@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENVELOPES = ("rows", "records", "candidates", "predictions", "items")
+from tessera.functions import clean
 
+ENVELOPES = ("rows", "records", "candidates", "predictions", "items", "outputs", "images", "results", "detections")
 
-def header_name(text: str) -> str:
-    return re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]", "", re.sub(r"[\s-]+", "_", text.strip("\ufeff \t").lower())))
 
+def read_csv(spark: SparkSession, path: str | list[str], lines_in_cells: bool = False) -> DataFrame:
+    """All columns as text, names normalised, a byte-order mark dropped. Files with line ends inside of cells can't be split among tasks; say so."""
+    raw = spark.read.option("header", True).option("multiLine", lines_in_cells).option("escape", '"').csv(path)
+    return raw.toDF(*clean.header_names(raw))
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text, names normalised, a byte-order mark dropped."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return raw.toDF(*map(header_name, raw.columns))
 
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df, if it has all the columns; the error names those that are missing."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
 
-def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON list, or of the first envelope that a JSON object has."""
-    raw = spark.read.option("multiLine", True).json(path)
+
+def read_json_rows(spark: SparkSession, path: str, one_value: bool = True) -> DataFrame:
+    """Rows of a JSON list, or of the first envelope that a JSON object has. one_value: a file is one JSON value; else each line is one, and files are split."""
+    raw = spark.read.option("multiLine", one_value).json(path)
     name = next((e for e in ENVELOPES if e in raw.columns), None)
     return raw.select(F.explode(name).alias("row")).select("row.*") if name else raw
 
