@@ -120,8 +120,14 @@ def clusters_unconstrained(spark, sf_dir):
     return clusters.named(clusters.components(v.select("id"), edges))
 
 
-@query()
+@query(f"""{COSINES.replace("WITH e", "WITH RECURSIVE e")}, l AS (SELECT a, b, a * 10000000 + b AS pair, row_number() OVER (ORDER BY cosine DESC, a, b) AS n FROM p WHERE a < b AND cosine >= {CLUSTER}),
+    s(n, pair, a, decision, roots) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, range(0, (SELECT max(id) + 1 FROM e)) UNION ALL
+      SELECT n, pair, a, decision, CASE WHEN decision = 'used' THEN list_transform(roots, lambda r: CASE WHEN r = high THEN low ELSE r END) ELSE roots END FROM (
+        SELECT *, CASE WHEN len(list_filter(range(1, len(roots) - 4), lambda i: roots[i] IN (low, high) AND roots[i + 5] IN (low, high))) > 0 THEN 'blocked' WHEN low = high THEN 'already_connected' ELSE 'used' END AS decision FROM (
+          SELECT l.n, l.pair, l.a, roots, least(roots[l.a + 1], roots[l.b + 1]) AS low, greatest(roots[l.a + 1], roots[l.b + 1]) AS high FROM s JOIN l ON l.n = s.n + 1)))
+    SELECT s.pair, s.a, l.b, s.decision, (SELECT roots FROM s ORDER BY n DESC LIMIT 1)[s.a + 1] AS root FROM s JOIN l USING (pair)""")
 def clusters_constrained(spark, sf_dir):
+    """SQL takes one edge after another; ids run from 0, and each is apart from the fifth after it."""
     v, edges = _edges(spark, sf_dir, CLUSTER)
     apart = v.select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
     pairs = edges.withColumn("pair", F.col("a") * 10_000_000 + F.col("b"))

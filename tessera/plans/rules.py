@@ -145,6 +145,21 @@ def cluster_summary(spark, sf_dir):
     return clusters.summary(groups, decided)
 
 
+#: Edges (a, b, score) best first: 0-1-2 close a ring; 3 is apart from 0, so 2-3 is blocked, even once 3 and 4 are one; 6 is apart from 4.
+MERGES = {
+    (0, 1, 0.95): "used 0", (1, 2, 0.9): "used 0", (0, 2, 0.9): "already_connected 0", (2, 3, 0.85): "blocked 0", (3, 4, 0.8): "used 3", (0, 4, 0.8): "blocked 0",
+    (5, 6, 0.75): "used 5", (4, 5, 0.7): "blocked 3", (7, 8, 0.65): "used 7", (8, 8, 0.66): "already_connected 7",
+}
+
+
+@query(wanted(MERGES, "decision"))
+def merges_apart(spark, sf_dir):
+    edges = table(spark, MERGES, "a long, b long, score double").withColumnRenamed("id", "pair")
+    apart = spark.createDataFrame([(3, 0), (4, 6)], "a long, b long")
+    decided = clusters.constrained(spark.range(10), edges, apart, 0.65)
+    return decided.select(F.col("pair").alias("id"), F.concat_ws(" ", "decision", F.col("root").cast("string")).alias("decision"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 80")
 def latest_rows(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").orderBy(F.col("event_id").desc()).limit(80)

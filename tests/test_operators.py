@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, clusters, frames, identity, species
@@ -27,13 +26,32 @@ def brute_greedy(edges, apart):
     return out
 
 
-def test_greedy_merging_matches_brute_force():
+def test_merging_in_rounds_decides_like_one_edge_after_another(spark):
     dice = random.Random(3)
-    for _ in range(60):
-        edges = [(k, *sorted(dice.sample(range(9), 2)), dice.choice([0.5, 0.6, 0.7])) for k in range(14)]
-        apart = [tuple(sorted(dice.sample(range(9), 2))) for _ in range(3)]
-        got = clusters.merge_greedily(pd.DataFrame(edges, columns=["pair", "a", "b", "score"]), pd.DataFrame(apart, columns=["a", "b"]))
-        assert dict(zip(got["pair"], got["decision"], strict=True)) == brute_greedy(edges, apart)
+    edges, apart, n = [], [], 0
+    for nodes, links, foes in [(9, 14, 3)] * 25 + [(12, 30, 4), (60, 300, 0)]:
+        edges += [(len(edges) + k, *sorted(n + x for x in dice.sample(range(nodes), 2)), dice.choice([0.5, 0.6, 0.7, dice.random() / 2 + 0.5])) for k in range(links)]
+        apart += [tuple(sorted(n + x for x in dice.sample(range(nodes), 2))) for _ in range(foes)]
+        n += nodes
+    falling = [(len(edges) + k, n + k, n + k + 1, 0.9 - k / 100) for k in range(4)]
+    edges, apart, n = edges + falling, apart + [(n, n + 4), (n + 1, n + 3)], n + 5
+    frame = spark.createDataFrame(edges, "pair long, a long, b long, score double")
+    foes = spark.createDataFrame(apart, "a long, b long")
+    got = clusters.constrained(spark.range(n), frame, foes, 0.5).collect()
+    want = brute_greedy(edges, apart)
+    assert len(got) == len(want) and {r["pair"]: r["decision"] for r in got} == want
+    used = spark.createDataFrame([e for e in edges if want[e[0]] == "used"], frame.schema)
+    roots = {r["id"]: r["root"] for r in clusters.components(spark.range(n), used).collect()}
+    assert all(r["root"] == roots[r["a"]] for r in got)
+
+
+def test_merging_with_nothing_to_merge_and_odd_rows(spark):
+    nodes, none = spark.range(4), spark.createDataFrame([], "a long, b long")
+    odd = spark.createDataFrame([(1, 0, 1, None), (2, 0, 1, float("nan")), (3, 1, 2, 0.7), (4, 3, 3, 0.9), (5, 0, 3, 0.8), (None, 0, 2, 0.9)], "pair long, a long, b long, score double")
+    assert clusters.constrained(nodes, odd.limit(0), none, 0.5).count() == 0
+    own = spark.createDataFrame([(0, 0)], "a long, b long")
+    got = {r["pair"]: (r["decision"], r["root"]) for r in clusters.constrained(nodes, odd, own, 0.5).collect()}
+    assert got == {3: ("used", 1), 4: ("already_connected", 3), 5: ("blocked", 0)}
 
 
 def test_components_and_constraints(spark):
