@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.clean import to_flag, to_whole
+
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
@@ -40,3 +42,73 @@ def box_rules() -> dict[str, Column]:
 
 def verdict(all_issues: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, all_issues).agg(F.count("*").alias("n_issues")).withColumn("status", F.when(F.col("n_issues") == 0, "PASS").otherwise("FAIL"))
+
+
+#: Codes that only warn.
+WARNINGS = ("planned_expected_mismatch",)
+
+
+def _coded(df: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
+    level = F.when(F.col("rule").isin(*WARNINGS), "warning").otherwise("error")
+    found = issues(df, F.col(id_), {code: F.coalesce(broken, F.lit(False)) for code, broken in rules.items()})
+    return found.select(level.alias("level"), F.col("rule").alias("code"), F.col("id").cast("string").alias("id"))
+
+
+def _repeats(df: DataFrame, id_: str, code: str) -> DataFrame:
+    """An issue for each row of a filled id after its first."""
+    more = duplicates(df.where(f"{id_} <> ''"), [id_]).select(id_, F.explode(F.expr("sequence(2, copies)")).alias("n"))
+    return more.select(F.lit("error").alias("level"), F.lit(code).alias("code"), F.col(id_).cast("string").alias("id"))
+
+
+def sampling_issues(sequences: DataFrame, frames: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Issues (level, code, id) of sampled sequences, their frames and the frames extracted; all columns are manifest text, `row` numbers the rows.
+
+    A row without an id, or whose numbers can't be read, breaks no further rule; of sequences with one id the last counts.
+    Issues name the id, those of rows without one the row.
+    """
+    id_of = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    whole = lambda *names: {n: to_whole(F.col(n)) for n in names}
+    named = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("row "), F.col("row").cast("string")))
+
+    s = sequences.withColumns({"sequence_id": id_of("sequence_id")} | whole("start_frame_index", "end_frame_index", "anchor_frame_index", "sequence_frames_planned", "sequence_frame_count_expected", "sequence_frames_selected_for_extraction", "sequence_frames_written"))
+    s = s.withColumn("who", named("sequence_id"))
+    start, end, anchor, planned = (F.col(c) for c in ("start_frame_index", "end_frame_index", "anchor_frame_index", "sequence_frames_planned"))
+    is_named = F.col("sequence_id") != ""
+    read = start.isNotNull() & end.isNotNull() & anchor.isNotNull()
+    written, selected = (F.coalesce(F.col(c), F.lit(0)) for c in ("sequence_frames_written", "sequence_frames_selected_for_extraction"))
+    of_sequences = _coded(s, "who", {
+        "blank_sequence_id": ~is_named,
+        "sequence_numeric_parse_failed": is_named & ~read,
+        "sequence_start_after_end": is_named & read & (start > end),
+        "anchor_outside_sequence": is_named & read & ~anchor.between(start, end),
+        "planned_expected_mismatch": is_named & read & (planned != F.col("sequence_frame_count_expected")),
+        "sequence_written_exceeds_selected": is_named & read & (written > selected),
+    })
+
+    last = s.where(is_named).groupBy("sequence_id").agg(F.max_by(F.struct(start.alias("start"), end.alias("end"), planned.alias("planned")), "row").alias("sequence"))
+    f = frames.withColumns({"frame_id": id_of("frame_id"), "sequence_id": id_of("sequence_id"), "output_frame_path": id_of("output_frame_path"), "frame_materialization_status": id_of("frame_materialization_status"), "chosen": to_flag(F.col("frame_selected_for_extraction"))} | whole("source_frame_index", "anchor_frame_index", "offset_from_anchor_frames"))
+    f = f.withColumn("who", named("frame_id")).join(last, "sequence_id", "left")
+    at, offset, low, high = F.col("source_frame_index"), F.col("offset_from_anchor_frames"), F.col("sequence.start"), F.col("sequence.end")
+    has_id, linked = F.col("frame_id") != "", F.col("sequence").isNotNull()
+    numbers = at.isNotNull() & anchor.isNotNull() & offset.isNotNull() & low.isNotNull() & high.isNotNull()
+    fine, cached = has_id & linked & numbers, F.col("frame_materialization_status") == "written_debug_cache"
+    of_frames = _coded(f, "who", {
+        "blank_frame_id": ~has_id,
+        "frame_missing_sequence": has_id & ~linked,
+        "frame_numeric_parse_failed": has_id & linked & ~numbers,
+        "frame_outside_sequence": fine & ~at.between(low, high),
+        "offset_mismatch": fine & (at - anchor != offset),
+        "written_frame_missing_output_path": fine & F.col("chosen") & cached & (F.col("output_frame_path") == ""),
+        "unselected_frame_written": fine & ~F.col("chosen") & cached,
+    })
+
+    seen = f.where(has_id & linked).groupBy("sequence_id").agg(F.count("*").alias("seen"))
+    counted = last.join(seen, "sequence_id", "left")
+    of_counts = _coded(counted, "sequence_id", {"sequence_frame_count_mismatch": F.col("sequence.planned") != F.coalesce("seen", F.lit(0))})
+
+    x = extracted.withColumn("frame_id", id_of("frame_id"))
+    x = x.withColumn("who", named("frame_id"))
+    of_extracted = _coded(x, "who", {"blank_extracted_frame_id": F.col("frame_id") == ""})
+    unknown = orphans(x.where(has_id), "frame_id", f.where(has_id), "frame_id").select(F.lit("error").alias("level"), F.lit("extracted_frame_not_in_sampled_frames").alias("code"), F.col("frame_id").alias("id"))
+    repeats = [_repeats(s, "sequence_id", "duplicate_sequence_id"), _repeats(f, "frame_id", "duplicate_frame_id"), _repeats(x, "frame_id", "duplicate_extracted_frame_id")]
+    return reduce(DataFrame.unionByName, [of_sequences, of_frames, of_counts, of_extracted, unknown, *repeats])
