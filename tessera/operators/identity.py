@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.functions.clean import auto_name
+from tessera.functions.clean import auto_name, auto_number
 from tessera.operators.clusters import components
-from tessera.operators.numbering import numbered
+from tessera.operators.numbering import cut, numbered
 from tessera.operators.similarity import best_before
 
 
@@ -74,3 +74,27 @@ def assign_in_order(vectors: DataFrame, threshold: float) -> DataFrame:
     roots = components(vectors.select("id"), follows)
     numbers = numbered(roots.where("id = root").select("root"), ["root"], "identity")
     return roots.join(numbers, "root").select("id", "identity")
+
+
+def assign_against_store(rows: DataFrame, threshold: float, version: str, excluded: tuple[str, ...] = ("multibird", "low_quality", "false_positive", "junk")) -> DataFrame:
+    """Identities of new rows, one after another by id, against a store of earlier vectors and the new rows before them.
+
+    rows: id, vec, identity (of stored rows, which come before the new ones; null for new rows), version, status. Rows of
+    other versions take no part, nor do stored ones of an excluded status. Gives id, identity, decision (match or new),
+    score (of the best earlier vector, null without one) and match (that vector, if it is similar enough). New names fill the
+    smallest numbers that no identity of rows has; an error if none is left.
+    """
+    stored = F.col("identity").isNotNull()
+    part = cut(rows.where((F.col("version") == version) & ~(stored & F.coalesce("status", F.lit("")).isin(*excluded))).select("id", "vec", "identity"))
+    new = part.where("identity is null").select("id")
+    best = best_before(part.select("id", "vec"), threshold).join(new, "id")
+    roots = components(part.select("id"), best.where("match is not null").select(F.col("id").alias("a"), F.col("match").alias("b")))
+    given = part.where("identity is not null").select(F.col("id").alias("root"), "identity")
+    fresh = numbered(new.join(roots.where("id = root").select("id"), "id"), ["id"], "place")
+    wanted = fresh.count()
+    free = free_numbers(rows.select(auto_number(F.col("identity")).alias("n")).where("n is not null"), "n", wanted)
+    names = numbered(free.select("number", "name"), ["number"], "place").select("place", F.col("name").alias("identity"))
+    if names.count() < wanted:
+        raise ValueError("no free number is left")
+    named = given.union(fresh.join(names, "place").select(F.col("id").alias("root"), "identity"))
+    return best.join(roots, "id").join(named, "root").select("id", "identity", "decision", F.col("cosine").alias("score"), "match")

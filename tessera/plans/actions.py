@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import nested
-from tessera.operators import audit, history
+from tessera.operators import audit, history, identity
+from tessera.plans.catalog import CLUSTER, COSINES, vectors
 from tessera.plans.registry import query, read
 from tessera.plans.rules import table, wanted
 
@@ -103,3 +104,16 @@ def sampling_audit(spark, sf_dir):
     s = text(SEQUENCES, "sequence_id start_frame_index end_frame_index anchor_frame_index sequence_frames_planned sequence_frame_count_expected sequence_frames_selected_for_extraction sequence_frames_written")
     f = text(FRAMES, "frame_id sequence_id source_frame_index anchor_frame_index offset_from_anchor_frames frame_selected_for_extraction frame_materialization_status output_frame_path")
     return audit.sampling_issues(s, f, text([("",), ("f4",), ("f4",), ("f9",)], "frame_id"))
+
+
+@query(f"""{COSINES.replace("WITH e", "WITH RECURSIVE e")}, k AS (SELECT id FROM e WHERE id % 10 <> 9 AND NOT (id < 100 AND id % 10 = 8)), s AS (SELECT id, printf('Bird%05d', label * 2 + 1) AS identity FROM e WHERE id < 100),
+    r AS (SELECT a, b, cosine FROM p WHERE b < a AND a >= 100 AND a IN (FROM k) AND b IN (FROM k) QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) = 1),
+    walk(id, spot) AS (SELECT id, id FROM k WHERE id >= 100 UNION SELECT walk.id, r.b FROM walk JOIN r ON r.a = walk.spot AND r.cosine >= {CLUSTER}), roots AS (SELECT id, min(spot) AS root FROM walk GROUP BY id),
+    f AS (SELECT n, row_number() OVER (ORDER BY n) AS place FROM range(1, 100000) t(n) WHERE printf('Bird%05d', n) NOT IN (SELECT identity FROM s)),
+    w AS (SELECT root, row_number() OVER (ORDER BY root) AS place FROM roots WHERE root >= 100 AND id = root), g AS (SELECT root, printf('Bird%05d', n) AS identity FROM w JOIN f USING (place) UNION ALL SELECT id, identity FROM s)
+    SELECT roots.id, identity, CASE WHEN cosine >= {CLUSTER} THEN 'match' ELSE 'new' END AS decision, cosine AS score, CASE WHEN cosine >= {CLUSTER} THEN b END AS match FROM roots JOIN g USING (root) LEFT JOIN r ON r.a = roots.id""")
+def stored_identity(spark, sf_dir):
+    """The first hundred vectors are the store; a tenth of all has another version, a tenth of the store is junk."""
+    v, stored = vectors(spark, sf_dir), F.col("id") < 100
+    rows = v.select("id", "vec", F.when(stored, F.format_string("Bird%05d", F.col("name") * 2 + 1)).alias("identity"), F.when(F.col("id") % 10 == 9, "v0").otherwise("v1").alias("version"), F.when(stored & (F.col("id") % 10 == 8), "junk").alias("status"))
+    return identity.assign_against_store(rows, CLUSTER, "v1")

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, clusters, frames, identity, species
+from tessera.operators import audit, clusters, frames, history, identity, species
 from tessera.sources import manifests
 from tessera.streaming import incremental
 
@@ -126,3 +127,25 @@ def test_incremental_ingest(spark, tmp_path):
         frame.coalesce(1).write.mode("append").parquet(folder)
         incremental.ingest(spark, folder, frame.schema, "k", table, mark).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_names_that_are_taken_or_blank_are_refused(spark):
+    rows = spark.createDataFrame([(1, "p", "Ann"), (2, "q", "Bea"), (3, "r", None)], "id long, crop_path string, identity string")
+    for source, target in [("Ann", "Bea "), ("Ann", " "), ("multibird", "Cy"), ("Ann", "multibird")]:
+        with pytest.raises(ValueError):
+            history.renamed(rows, source, target, "now")
+    unknown = history.renamed(rows, "Di", "Cy", "now")
+    assert unknown.action.isEmpty() and unknown.history.isEmpty() and unknown.rows.count() == 3
+    for source in ("multibird", "Ann"):
+        same = history.merged(rows, source, "Ann", "now")
+        assert same.action.isEmpty() and same.history.isEmpty() and same.rows.count() == 3
+    both = history.merged(rows, "Bea", "Ann", "now")
+    assert [r["identity"] for r in both.rows.orderBy("id").collect()] == ["Ann", "Ann", None]
+    assert [tuple(r) for r in both.action.collect()] == [("now", "merge_identity", "Bea", "Ann", 1)]
+    assert history.known_paths(rows, spark.createDataFrame([("q",), ("q",), ("z",)], "crop_path string")).collect() == [(2,)]
+
+
+def test_audit_of_empty_samples(spark):
+    names = "sequence_id frame_id start_frame_index end_frame_index anchor_frame_index sequence_frames_planned sequence_frame_count_expected sequence_frames_selected_for_extraction sequence_frames_written source_frame_index offset_from_anchor_frames frame_selected_for_extraction frame_materialization_status output_frame_path"
+    none = spark.createDataFrame([], "row long, " + ", ".join(f"{n} string" for n in names.split()))
+    assert audit.sampling_issues(none, none.drop("start_frame_index", "end_frame_index"), none.select("row", "frame_id")).isEmpty()
