@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import host_rules, kmeans_tree, mixing, near_dup, packing, quality_rff, secret_scan, sharding, suffix_tree, url_cascade
+from tessera.llm import fill_middle, host_rules, kmeans_tree, merkle, mixing, near_dup, packing, quality_rff, secret_scan, sharding, suffix_tree, token_counts, url_cascade
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 40
 #: Rules of the URL filter, and names whose hosts are listed (alone and behind each prefix, under each domain).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -65,8 +66,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.rearranged(_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_mixing, op6_near_dedup, op7_host_rules, op8_secret_scans, op9_quality_classifier, op10_packing)
+    f.__name__: f for f in (op1_sharding, op2_url_filters, op3_lm_scoring, op4_nearest_neighbours, op5_mixing, op6_near_dedup, op7_host_rules, op8_secret_scans, op9_quality_classifier, op10_packing, op11_fill_in_middle, op12_merkle_manifest, op13_token_counts)
 }
 
 
@@ -87,6 +100,52 @@ def _url_sql() -> str:
     FROM split"""
 
 
+def _merkle_sql() -> str:
+    """Levels by one recursion, folding by another; n is the number of nodes of a tree in a level, and a tree's last node is its subroot."""
+    field = lambda v: f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, (*merkle.COLUMNS[:-1], text)))})"
+    grown = lambda name, tree, start: f"""
+    {name}(tree, level, place, n, hash) AS (
+      {start}
+      UNION ALL
+      SELECT tree, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY tree, level, place // 16, n)"""
+    tampered = f"CASE WHEN crc % 5 = 0 THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END"
+    return f"""
+    WITH RECURSIVE bits AS (
+      SELECT doc_id, encode(doc_id::VARCHAR) AS b FROM documents WHERE doc_id IS NOT NULL),
+    crcs AS ({_crc_sql()}),
+    rows AS (
+      SELECT d.doc_id, d.source, {leaf("text")} AS leaf, {leaf(tampered)} AS claimed FROM (SELECT d.*, crc FROM documents d LEFT JOIN crcs ON d.doc_id = crcs.doc_id) d),
+    placed AS (
+      SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM rows),
+    {grown("own", "tree", "SELECT tree, 0, place, n, leaf FROM placed")},
+    subroots AS (SELECT tree, hash AS subroot FROM own WHERE n = 1),
+    {grown("over", "0", "SELECT -1::BIGINT, 0, tree, (SELECT count(*) FROM subroots), subroot FROM subroots")},
+    root AS (SELECT hash AS root FROM over WHERE n = 1),
+    nodes AS (SELECT * FROM own UNION ALL SELECT * FROM over),
+    kids AS (SELECT tree, level, place // 16 AS up, list(hash ORDER BY place) AS hashes FROM nodes WHERE n > 1 GROUP BY tree, level, place // 16),
+    climb(doc_id, leaf, source_tree, tree, level, place, n, fold, proof) AS (
+      SELECT doc_id, leaf, tree, tree, 0, place, n, claimed, '' FROM placed
+      UNION ALL
+      SELECT c.doc_id, c.leaf, c.source_tree, CASE WHEN c.n > 1 THEN c.tree ELSE -1 END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.place // 16 ELSE c.tree END,
+        CASE WHEN c.n > 1 THEN (c.n + 15) // 16 ELSE (SELECT count(*) FROM subroots) END,
+        CASE WHEN c.n > 1 THEN sha256(array_to_string(k.hashes[1:c.place % 16], '') || c.fold || array_to_string(k.hashes[c.place % 16 + 2:], '')) ELSE c.fold END,
+        CASE WHEN c.n > 1 THEN c.proof || array_to_string(k.hashes[1:c.place % 16], '') || array_to_string(k.hashes[c.place % 16 + 2:], '') ELSE c.proof END
+      FROM climb c LEFT JOIN kids k ON k.tree = c.tree AND k.level = c.level AND k.up = c.place // 16
+      WHERE c.n > 1 OR c.tree >= 0)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+    FROM climb c JOIN subroots s ON s.tree = c.source_tree CROSS JOIN root WHERE c.tree = -1 AND c.n = 1"""
+
+
+def _crc_sql() -> str:
+    """crc32 of each doc_id's digits, bit by bit: DuckDB has no function for it."""
+    return """
+      SELECT doc_id, xor(crc, 4294967295) AS crc FROM (
+        SELECT doc_id, list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+          lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+        FROM bits)"""
+
+
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": _url_sql(),
@@ -137,4 +196,20 @@ ORACLE_SQL: dict[str, str] = {
         WHEN rate > mean + {host_rules.SAME} THEN {host_rules.SOFT_STRICT} ELSE {host_rules.SOFT_MOST} END AS allowed FROM r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND soft < coalesce(allowed, {host_rules.SOFT_MOST}) AS kept
     FROM s LEFT JOIN verdicts USING (source)""",
+    "op11_fill_in_middle": f"""
+    WITH t AS (
+      SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS g FROM documents),
+    h AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(g, k, 8))::BIGINT) AS h FROM t),
+    c AS (
+      SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {fill_middle.RATE} THEN 'plain' WHEN h[4] % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:], '') AS suffix FROM c),
+    o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+    r AS (
+      SELECT *, string_split(substr(output, 4), CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS x FROM o),
+    b AS (SELECT *, string_split(x[2], '<M>') AS y FROM r)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(output) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[1] || y[2] || y[1] ELSE y[1] || y[2] || x[1] END) AS restored_sha256
+    FROM b""",
+    "op12_merkle_manifest": _merkle_sql(),
 }
