@@ -1,7 +1,8 @@
 """Quality rules with a verdict per host: failures of documents, counted by host, shrunk towards all hosts' rate.
 
-Two base rules reject a document by themselves. Softer rules are judged together with its host: a host whose shrunk rate of failing
-documents lies above the hosts' mean is strict ground, where one soft failure rejects a document; elsewhere it takes two. A host
+Two base rules reject a document by themselves. Softer rules are judged together with its host: a host whose rate of failing documents
+is, by its posterior, above the hosts' mean for nearly certain is strict ground, where one soft failure rejects a document; elsewhere it
+takes two. So a host of few documents is no strict ground for what these documents did themselves. A host
 whose rate is beyond doubt far above the others' is rejected with all its documents.
 
 Counting runs over bytes of whole texts in Arrow batches; host rates are an aggregation with map-side sums, so a host
@@ -30,6 +31,8 @@ WORDS_PER_SYMBOL, WORDS_PER_LINE, SOFT_REPEATED, SHORTEST, LONGEST = 10, 20, 20,
 SOFT_MOST, SOFT_STRICT = 2, 1
 #: A host is rejected if its shrunk rate, less two standard deviations, exceeds this rate and this multiple of the mean host's odds.
 HOST_RATE, HOST_ODDS = 0.3, 4.0
+#: Standard deviations of the posterior that a strict host's rate stands above the mean by: a chance of one in twenty.
+SURE = 1.645
 #: Weight of the prior, in documents, where there is one host alone, and its limits.
 PRIOR_DEFAULT, PRIOR_LEAST, PRIOR_MOST = 20.0, 2.0, 1000.0
 #: Rates this close count as equal.
@@ -112,9 +115,9 @@ def host_verdicts(rows: DataFrame, host: str, failed: str) -> DataFrame:
     mean, weight = prior(hosts)
     total = F.col("rows") + weight
     rate = (F.col("failed") + mean * weight) / total
-    least = rate - 2 * F.sqrt(rate * (1 - rate) / (total + 1))
+    spread = F.sqrt(rate * (1 - rate) / (total + 1))
     far = max(HOST_RATE, HOST_ODDS * mean / (1 + (HOST_ODDS - 1) * mean))
-    allowed = F.when(least > far, 0).when(rate > mean + SAME, SOFT_STRICT).otherwise(SOFT_MOST)
+    allowed = F.when(rate - 2 * spread > far, 0).when(rate - SURE * spread > mean + SAME, SOFT_STRICT).otherwise(SOFT_MOST)
     return stage(hosts.select(host, "rows", allowed.alias("allowed")), "host-verdicts")
 
 

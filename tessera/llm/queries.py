@@ -193,7 +193,7 @@ ORACLE_SQL: dict[str, str] = {
     r AS (SELECT source, mean, n + weight AS total, (f + mean * weight) / (n + weight) AS rate FROM h, p),
     verdicts AS (
       SELECT source, CASE WHEN rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > greatest({host_rules.HOST_RATE}, {host_rules.HOST_ODDS} * mean / (1 + {host_rules.HOST_ODDS - 1} * mean)) THEN 0
-        WHEN rate > mean + {host_rules.SAME} THEN {host_rules.SOFT_STRICT} ELSE {host_rules.SOFT_MOST} END AS allowed FROM r)
+        WHEN rate - {host_rules.SURE} * sqrt(rate * (1 - rate) / (total + 1)) > mean + {host_rules.SAME} THEN {host_rules.SOFT_STRICT} ELSE {host_rules.SOFT_MOST} END AS allowed FROM r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND soft < coalesce(allowed, {host_rules.SOFT_MOST}) AS kept
     FROM s LEFT JOIN verdicts USING (source)""",
     "op11_fill_in_middle": f"""
