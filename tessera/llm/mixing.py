@@ -5,6 +5,8 @@ every stretch of the schedule holds each source in its proportion. With 2^k poin
 make each source's number of slots exact. Reversing bits undoes itself, so a source's slots are the reversed numbers of its
 stretch of points. Slots are ranked per source and joined to the source's blocks: its documents
 in hashed order, cut into blocks of equal words; rank r takes block r modulo the number of blocks, in epoch r div it.
+What a document gets is the number of its blocks' slots, and where it stands in the mix is its first block's slot: in order of
+slots every stretch of the mix holds each source near its share, which is what the low discrepancy is for.
 
 Sources are a table of any length: their weights follow from numbers given over sorted ranges, their targets from one water
 level that a few aggregations close in on, and rows meet their source by shared.join_spread.
@@ -140,28 +142,31 @@ class Mix:
         return in_order(self.sized, self.offsets, {n: n for n in ("src", "bucket", "at", "base")} | {"size": "words", "key": "order"})
 
     def taken_words(self) -> DataFrame:
-        """Words that the schedule takes from every row: the row's pieces joined to the slots of their blocks."""
+        """Words that the schedule takes from every row, and its first slot: the row's pieces joined to the slots of their blocks."""
         placed = stage(self.positions().withColumn("row", F.monotonically_increasing_id()), "mix-places")
         pieces = placed.where("words > 0").select("row", "src", "at", "words", "block_words", F.explode(F.expr("sequence(at div block_words, (at + words - 1) div block_words)")).alias("block"))
-        times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
+        times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
         overlap = F.least(F.col("at") + F.col("words"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("at"), F.col("block") * F.col("block_words"))
-        taken = pieces.join(times, ["src", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
-        return placed.join(taken, "row", "left").select("doc_id", F.col("words").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        taken = pieces.join(times, ["src", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"), F.min("slot").alias("first_slot"))
+        return placed.join(taken, "row", "left").select("doc_id", F.col("words").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
-    def documents(self, docs: DataFrame) -> DataFrame:
+    def documents(self, docs: DataFrame, slot: str | None = None) -> DataFrame:
         """docs as the mix takes them: each row once per epoch, in a source's last epoch up to the last block's end.
 
+        slot: a column of this name gets the slot at which a row starts in that epoch; in its order the rows are the mix.
+
         The ranks of a source's slots run through its blocks in order, so an epoch takes the first blocks of the
         source; where they end inside a document, the row keeps the words up to there, and n_chars, if docs has it, follows.
         """
-        words, order, key, src, bucket, base, at, took, ends = free_names(docs, "words", "order", "key", "src", "bucket", "base", "at", "took", "ends")
+        words, order, key, src, bucket, base, at, took, ends, epoch, width = free_names(docs, "words", "order", "key", "src", "bucket", "base", "at", "took", "ends", "epoch", "width")
         names = {"src": src, "bucket": bucket, "size": words, "key": order, "at": at, "base": base}
         upto = F.array_compact(F.array(*(F.max(F.when(F.col("epoch") == k, F.col("block") + 1)) for k in range(MOST_REPEATS + 1))))
         epochs = self.slots.groupBy("src").agg(upto.alias("upto"))
-        recipe = self.shares.join(epochs, "src", "left").select(F.col("key").alias(key), "rows", F.col("src").alias(src), F.transform("upto", lambda b: b * F.col("block_words")).alias(ends))
+        recipe = self.shares.join(epochs, "src", "left").select(F.col("key").alias(key), "rows", F.col("src").alias(src), F.transform("upto", lambda b: b * F.col("block_words")).alias(ends), F.col("block_words").alias(width))
         known = join_spread(self._sized(docs, words, order, key), stage(recipe, "mix-epochs"), [key], "rows", [order])
         rows = in_order(self._bucketed(known, order, bucket), self.offsets, names)
-        mixed = rows.withColumn(took, F.explode(F.transform(ends, lambda e: F.least(e - F.col(at), F.col(words))))).where(f"`{took}` > 0")  # one row per epoch
+        each = F.transform(ends, lambda e: F.least(e - F.col(at), F.col(words)))
+        mixed = rows.select("*", F.posexplode(each).alias(epoch, took)).where(f"`{took}` > 0")  # one row per epoch
         parts = F.split("text", BETWEEN)
         lead = F.when(F.get(parts, F.lit(0)).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
         cut = F.col(took) < F.col(words)
@@ -169,11 +174,16 @@ class Mix:
         out = mixed.withColumn("text", text)
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        return out.select(docs.columns)
+        if slot is None:
+            return out.select(docs.columns)
+        starts = self.slots.select(F.col("src").alias(src), F.col("block").alias(base), F.col("epoch").alias(epoch), F.col("slot").alias(slot))
+        begun = out.withColumn(base, F.expr(f"`{at}` div `{width}`"))
+        return begun.join(starts, [src, base, epoch]).select(*docs.columns, slot)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """What the mix takes of every row of docs (doc_id, text, source): doc_id, size, source_size, target, taken.
+    """What the mix takes of every row of docs (doc_id, text, source): doc_id, size, source_size, target, taken and first_slot (where
+    in the mix the row starts first; null if nothing is taken of it).
 
     Null text has no words and nothing is taken of it; null is a source of its own, the last. Repeated rows are rows of
     their own (which of two equal rows comes first is open, what both are given in sum is not). A source without words
