@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.operators.blocks import in_cells, matrix
+from tessera.operators import balls as B
+from tessera.operators.blocks import BLOCK_ROWS, in_cells, matrix
+from tessera.operators.numbering import cut
 
 DIGITS = 6
+#: Tables of so many blocks are compared whole; larger ones by balls, with bounds.
+FEW_BLOCKS = 4
+#: Balls that a vector visits before it knows what score it needs.
+PROBES = 2
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,6 +37,10 @@ def _cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.round(np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0), DIGITS)
 
 
+def _few(rows: int) -> bool:
+    return rows <= FEW_BLOCKS * BLOCK_ROWS
+
+
 def nearest(vectors: DataFrame, k: int = 8, rows: int | None = None) -> DataFrame:
     """The k nearest of every row of vectors (id, vec), itself left out; ties to the smaller id."""
 
@@ -44,9 +54,15 @@ def nearest(vectors: DataFrame, k: int = 8, rows: int | None = None) -> DataFram
                 out.append(pd.DataFrame({"query": q, "id": ids[order], "cosine": row[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "cosine": []})
 
-    found = in_cells(vectors, vectors, "id", keep, "query long, id long, cosine double", rows or vectors.count())
+    rows, schema = rows or vectors.count(), "query long, id long, cosine double"
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("cosine").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = lambda found: found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if _few(rows):
+        return best(in_cells(vectors, vectors, "id", keep, schema, rows))
+    table = B.balls_of(vectors, rows)
+    first = cut(best(table.compare(table.visits(table.rows, B.near(PROBES)), keep, schema)).drop("rank"))
+    late = table.visits(B.with_need(table.rows, first, k, "query"), B.both(B.above("need"), B.no(B.near(PROBES))))
+    return best(first.union(table.compare(late, keep, schema)))
 
 
 def _pairs(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -66,13 +82,18 @@ PAIR = "a long, b long, cosine double"
 
 def pairs_above(vectors: DataFrame, least: float, rows: int | None = None) -> DataFrame:
     """All pairs (a < b) of vectors (id, vec) whose cosine is at least so much."""
-    return in_cells(vectors, vectors, "id", lambda a, b: _pairs(a, b, least), PAIR, rows or vectors.count(), once=True)
+    rows, keep = rows or vectors.count(), lambda a, b: _pairs(a, b, least)
+    if _few(rows):
+        return in_cells(vectors, vectors, "id", keep, PAIR, rows, once=True)
+    table = B.balls_of(vectors, rows)
+    return table.compare(table.visits(table.rows, B.above(least), once=True), keep, PAIR)
 
 
 def best_pairs(vectors: DataFrame, k: int, differ: int | None = None, rows: int | None = None) -> DataFrame:
     """The k best of all pairs (a < b) with their rank, ties to the smaller ids; differ: pairs whose ids are equal div this are left out.
 
-    Every block cell gives its k best, so what is ranked at last is k rows a cell, and no pair is left out before it is scored.
+    Every block cell gives its k best, so what is ranked at last is k rows a cell. In larger tables the k-th score inside of balls is
+    what pairs between balls have to reach.
     """
 
     def keep(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -80,8 +101,15 @@ def best_pairs(vectors: DataFrame, k: int, differ: int | None = None, rows: int
         pairs = pairs[pairs["a"] // differ != pairs["b"] // differ] if differ else pairs
         return pairs.sort_values(["cosine", "a", "b"], ascending=[False, True, True]).head(k)
 
-    found = in_cells(vectors, vectors, "id", keep, PAIR, rows or vectors.count(), once=True)
-    order = [F.col("cosine").desc(), "a", "b"]
+    rows, order = rows or vectors.count(), [F.col("cosine").desc(), "a", "b"]
+    if _few(rows):
+        found = in_cells(vectors, vectors, "id", keep, PAIR, rows, once=True)
+    else:
+        table = B.balls_of(vectors, rows)
+        first = cut(table.compare(table.visits(table.rows, B.own_ball, once=True), keep, PAIR).orderBy(*order).limit(k))
+        n, low = first.agg(F.count("*"), F.min("cosine")).first()
+        late = table.visits(table.rows, B.both(B.above(low if n == k else B.NOTHING), B.no(B.own_ball)), once=True)
+        found = first.union(table.compare(late, keep, PAIR))
     return found.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # k rows
 
 
@@ -108,8 +136,8 @@ def ordered_pairs(vectors: DataFrame, most: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.orderBy(F.col("cosine").desc_nulls_last(), "pair")))
 
 
-def best_before(vectors: DataFrame, threshold: float, rows: int | None = None) -> DataFrame:
-    """For every row the best among rows of smaller id (ties: the smallest id), and whether it is a match."""
+def best_before(vectors: DataFrame, threshold: float, rows: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """For every row, or those asked for (id), the best among rows of smaller id (ties: the smallest id), and whether it is a match."""
 
     def keep(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -121,13 +149,45 @@ def best_before(vectors: DataFrame, threshold: float, rows: int | None = None) -
         ok = sim[np.arange(len(a)), at] > -2
         return pd.DataFrame({"id": a["id"].to_numpy()[ok], "best": ids[at][ok], "cosine": sim[np.arange(len(a)), at][ok]})
 
-    found = in_cells(vectors, vectors, "id", keep, "id long, best long, cosine double", rows or vectors.count())
-    best = found.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "best")).alias("x"))
-    joined = vectors.select("id").join(best, "id", "left").select("id", F.col("x.best").alias("best"), (-F.col("x.minus")).alias("cosine"))
+    rows, schema = rows or vectors.count(), "id long, best long, cosine double"
+    only = lambda df: df if asked is None else df.join(asked.select("id"), "id", "left_semi")
+    top = lambda found: found.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "best")).alias("x"))
+    if _few(rows):
+        best = top(in_cells(only(vectors), vectors, "id", keep, schema, rows))
+    else:
+        table = B.balls_of(vectors, rows)
+        queries = only(table.rows).select(table.rows.columns)
+        first = cut(table.compare(table.visits(queries, B.both(B.near(PROBES), B.earlier)), keep, schema))
+        late = table.visits(B.with_need(queries, first.groupBy("id").agg(F.max("cosine").alias("cosine")), 1, "id"), B.both(B.above("need"), B.earlier, B.no(B.near(PROBES))))
+        best = top(first.union(table.compare(late, keep, schema)))
+    joined = only(vectors.select("id")).join(best, "id", "left").select("id", F.col("x.best").alias("best"), (-F.col("x.minus")).alias("cosine"))
     matched = F.coalesce(F.col("cosine") >= threshold, F.lit(False))
     return joined.select("id", F.when(matched, F.col("best")).alias("match"), "cosine", F.when(matched, "match").otherwise("new").alias("decision"))
 
 
+def _best_of_names(a: pd.DataFrame, b: pd.DataFrame, least: float, once: bool) -> pd.DataFrame:
+    """Of every two names in two blocks the best pair, if it reaches the score, ties to the smaller ids; once: the smaller name first.
+
+    Rows are sorted by name, so the best scores are maxima over rectangles; only pairs that have the best score are looked at one by one.
+    """
+    if not len(a) or not len(b):
+        return pd.DataFrame({"name_a": [], "name_b": [], "id_a": [], "id_b": [], "cosine": []})
+    a, b = a.sort_values(["name", "id"]), b.sort_values(["name", "id"])
+    na, nb, ia, ib = a["name"].to_numpy(), b["name"].to_numpy(), a["id"].to_numpy(), b["id"].to_numpy()
+    sim = _cosines(a, b)
+    sim[na[:, None] == nb[None, :]] = B.NOTHING
+    of_a, of_b = np.flatnonzero(np.diff(na, prepend=na[0] - 1)), np.flatnonzero(np.diff(nb, prepend=nb[0] - 1))
+    most = np.maximum.reduceat(np.maximum.reduceat(sim, of_a, axis=0), of_b, axis=1)
+    wanted = np.where(most >= least, most, np.inf)
+    wide = np.repeat(np.repeat(wanted, np.diff(np.append(of_a, len(na))), axis=0), np.diff(np.append(of_b, len(nb))), axis=1)
+    i, j = np.nonzero(sim == wide)
+    out = pd.DataFrame({"name_a": na[i], "name_b": nb[j], "id_a": ia[i], "id_b": ib[j], "cosine": sim[i, j]})
+    if once:
+        turned = out["name_a"] > out["name_b"]
+        out.loc[turned, ["name_a", "name_b", "id_a", "id_b"]] = out.loc[turned, ["name_b", "name_a", "id_b", "id_a"]].to_numpy()
+    return out.sort_values(["cosine", "id_a", "id_b"], ascending=[False, True, True]).drop_duplicates(["name_a", "name_b"])
+
+
 def best_between(vectors: DataFrame, threshold: float, per_name: int | None = None, most: int = 200, anchor: int | None = None) -> DataFrame:
     """Of every two names the best pair of vectors (name, id, vec), best pairs first; per_name: only the first so many vectors of a name."""
     first = F.row_number().over(W.partitionBy("name").orderBy("id"))
@@ -135,13 +195,14 @@ def best_between(vectors: DataFrame, threshold: float, per_name: int | None = No
     left = few.where(F.col("name") == anchor) if anchor is not None else few
 
     def keep(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"name_a": [], "name_b": [], "id_a": [], "id_b": [], "cosine": []})
-        sim, na, nb = _cosines(a, b), a["name"].to_numpy(), b["name"].to_numpy()
-        i, j = np.nonzero((na[:, None] != nb[None, :] if anchor is not None else na[:, None] < nb[None, :]) & (sim >= threshold))
-        out = pd.DataFrame({"name_a": na[i], "name_b": nb[j], "id_a": a["id"].to_numpy()[i], "id_b": b["id"].to_numpy()[j], "cosine": sim[i, j]})
-        return out.sort_values(["cosine", "id_a", "id_b"], ascending=[False, True, True]).drop_duplicates(["name_a", "name_b"])
-
-    found = in_cells(left, few, "id", keep, "name_a long, name_b long, id_a long, id_b long, cosine double", few.count())
+        return _best_of_names(a, b, threshold, once=anchor is None)
+
+    rows, schema = few.count(), "name_a long, name_b long, id_a long, id_b long, cosine double"
+    if _few(rows):
+        found = in_cells(left, few, "id", keep, schema, rows, once=anchor is None)
+    else:
+        table = B.balls_of(few, rows)
+        queries = table.rows if anchor is None else table.rows.where(F.col("name") == anchor)
+        found = table.compare(table.visits(queries, B.above(threshold), once=anchor is None), keep, schema)
     best = found.groupBy("name_a", "name_b").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "id_a", "id_b")).alias("x"))
     return best.select("name_a", "name_b", "x.id_a", "x.id_b", (-F.col("x.minus")).alias("cosine")).orderBy(F.col("cosine").desc(), "name_a", "name_b").limit(most)
