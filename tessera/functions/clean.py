@@ -145,13 +145,6 @@ def number_list(c: Column, default: list[float]) -> Column:
     return F.when(F.size(values) > 0, values).otherwise(F.array(*map(F.lit, default)))
 
 
-def first_distinct(values: Column, order: Column, most: int = 12) -> Column:
-    """Aggregate: the first `most` distinct filled texts in the order given, joined by semicolons. Keeps one entry per distinct text and order."""
-    text = blank_to_null(values)
-    pairs = F.array_sort(F.collect_set(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t")))))
-    return F.array_join(F.slice(F.array_distinct(F.transform(pairs, lambda p: p["t"])), 1, most), ";")
-
-
 def under_folder(path: Column, root: Column) -> Column:
     """Whether a path is a folder or lies in it, by path_key."""
     inner, outer = path_key(path), F.regexp_replace(path_key(root), r"\\+$", "")

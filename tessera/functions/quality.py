@@ -75,14 +75,23 @@ def labeled_length(base_x: Column, base_y: Column, base_p: Column, tip_x: Column
     }
 
 
+#: The decision that a length needs, and what is said of lengths.
+EVIDENCE_READY, READY = "dlc_billtip_evidence_ready", "metric-ready debug bill length"
+REFUSED = {
+    "ok": "dlc_prediction_ok is false", "decision": "dlc_billtip_decision=", "length": "missing or non-positive dlc_bill_length_px", "tip": "bill_tip_likelihood below 0.10",
+    "base": "bill_base_likelihood below 0.10", "crop": "head_bill_crop not written",
+}
+
+
 def length_eligibility(ok: Column, decision: Column, length: Column, tip_p: Column, base_p: Column, cropped: Column) -> Column:
     """Why a length may not be measured (the first reason), or ready. A missing likelihood is no reason."""
+    state = F.trim(F.coalesce(decision, F.lit("")))
     return (
-        F.when(~F.coalesce(ok, F.lit(False)), "prediction_not_ok")
-        .when(F.coalesce(decision, F.lit("")) != "evidence_ready", "decision_not_ready")
-        .when(length.isNull() | (length <= 0), "length_missing")
-        .when(tip_p < 0.10, "tip_likelihood_low")
-        .when(base_p < 0.10, "base_likelihood_low")
-        .when(~F.coalesce(cropped, F.lit(False)), "crop_not_written")
-        .otherwise("ready")
+        F.when(~F.coalesce(ok, F.lit(False)), REFUSED["ok"])
+        .when(state != EVIDENCE_READY, F.concat(F.lit(REFUSED["decision"]), state))
+        .when(length.isNull() | (length <= 0), REFUSED["length"])
+        .when(tip_p < 0.10, REFUSED["tip"])
+        .when(base_p < 0.10, REFUSED["base"])
+        .when(~F.coalesce(cropped, F.lit(False)), REFUSED["crop"])
+        .otherwise(READY)
     )

@@ -10,6 +10,7 @@ from tessera.functions.clean import auto_name, auto_number
 from tessera.operators.clusters import components
 from tessera.operators.numbering import cut, numbered
 from tessera.operators.similarity import best_before
+from tessera.operators.spread import join_counted
 
 
 def status_pivot(df: DataFrame, identity: str, status: str, statuses: list[str], score: str) -> DataFrame:
@@ -55,11 +56,12 @@ def first_match(left: DataFrame, left_id: str, left_keys: list[str], right: Data
     """For each left row the value of the first right row found by its keys, tried in order.
 
     All right keys share one space of values, so any left key may meet any right one; a value stands for the first right row that has it.
+    Rows that ask for a frequent value stay where they are (spread.join_counted).
     """
     spots = right.select(F.col(right_order).alias("o"), F.col(value).alias("found"), F.posexplode(F.array(*(F.lower(F.trim(F.col(k).cast("string"))) for k in right_keys))).alias("k", "v")).where("v <> ''")
-    lookup = spots.groupBy("v").agg(F.min_by("found", F.struct("o", "k")).alias("found"))
-    asked = left.select(left_id, F.posexplode(F.array(*(F.lower(F.trim(F.col(k).cast("string"))) for k in left_keys))).alias("k", "v"))
-    hits = asked.join(lookup, "v").groupBy(left_id).agg(F.min_by("found", "k").alias(value), F.min("k").alias("by_key"))
+    lookup = spots.groupBy("v").agg(F.min_by("found", F.struct("o", "k")).alias("found"), F.lit(True).alias("hit"))
+    asked = left.select(left_id, F.posexplode(F.array(*(F.lower(F.trim(F.col(k).cast("string"))) for k in left_keys))).alias("k", "v")).where("v <> ''")
+    hits = join_counted(asked, lookup, ["v"], [left_id]).where("hit").groupBy(left_id).agg(F.min_by("found", "k").alias(value), F.min("k").alias("by_key"))
     return left.select(left_id).join(hits, left_id, "left")
 
 

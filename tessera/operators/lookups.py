@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.clean import base_name
+from tessera.operators.spread import join_counted
 
 
 def with_last(left: DataFrame, right: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
@@ -39,5 +40,5 @@ def by_any_key(rows: DataFrame, row_id: str, row_keys: list[str], found: DataFra
     has = found.select(F.col(found_order).alias("o"), F.col(value).alias("v"), kinds(found_keys).alias("kind", "k")).where("k is not null")
     first = has.groupBy("kind", "k").agg(F.min_by("v", "o").alias("v"))
     asks = rows.select(row_id, kinds(row_keys).alias("kind", "k"))
-    hits = asks.join(first, ["kind", "k"]).groupBy(row_id).agg(F.min_by("v", "kind").alias(value), F.min("kind").alias("kind"))
+    hits = join_counted(asks.where("k is not null"), first.withColumn("hit", F.lit(True)), ["kind", "k"], [row_id]).where("hit").groupBy(row_id).agg(F.min_by("v", "kind").alias(value), F.min("kind").alias("kind"))
     return rows.select(row_id).join(hits, row_id, "left")

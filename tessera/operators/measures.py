@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import plane
 from tessera.functions.ladders import ladder
+from tessera.operators.quantiles import exact_quantiles, with_quantiles
 
 #: Rungs of the additive score as (least value, points).
 CONFIDENCE, CONFIDENCE_LAST = [(0.70, 30), (0.40, 24), (0.15, 16)], 8
@@ -34,8 +35,8 @@ def legacy_animals(detections: DataFrame, class_id: str, confidence: str, animal
 
 
 def legacy_score(score: Column) -> Column:
-    """The earlier form of the score: within 0 to 100, two digits."""
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
+    """The earlier form of the score: within 0 to 100, two digits, halves to the even one."""
+    return F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
 
 
 def retention_reasons(role: Column, confidence: Column, width: Column, height: Column, area: Column) -> Column:
@@ -85,7 +86,8 @@ def range_summary(observations: DataFrame, keys: list[str], state: str, value: s
     full, part = F.when(s == "full", v), F.when(s == "partial", v)
     of = lambda name: F.count(F.when(s == name, 1)).alias(f"n_{name}")
     stats = [of(n) for n in ("full", "partial", "diagnostic", "rejected")]
-    stats += [F.min(full).alias("full_min"), F.avg(full).alias("full_mean"), F.max(full).alias("full_max"), F.percentile(full, 0.9).alias("full_p90")]
+    stats += [F.min(full).alias("full_min"), F.avg(full).alias("full_mean"), F.max(full).alias("full_max")]
     stats += [F.min(part).alias("partial_min"), F.avg(part).alias("partial_mean"), F.max(part).alias("partial_max")]
-    grouped = observations.groupBy(*keys).agg(*stats)
+    high = exact_quantiles(observations, keys, full, {"full_p90": 0.9})
+    grouped = with_quantiles(observations.groupBy(*keys).agg(*stats), high, keys)
     return grouped.withColumns({"range_floor": F.coalesce("partial_max", "full_min"), "range_ceiling": F.col("full_max")})

@@ -14,6 +14,8 @@ POINTS = [
 ]
 HEAD, BODY, REAR = [0, 1, 2, 3], [3, 4, 5, 8, 11, 14], [4, 11, 14, 12, 15]
 NOSE, NECK, TAIL, SHOULDERS = 2, 3, 4, [5, 8]
+#: What a pose is a candidate for.
+DECISIONS = ("dlc_billtip_and_smart_cropper_candidate", "dlc_billtip_candidate", "smart_cropper_candidate", "mmpose_ok_but_low_pose_utility", "mmpose_failed")
 #: Distances between these tell the scale.
 SPANS = [(0, 1), (2, 3), (3, 4), (5, 8), (11, 14), (5, 11), (8, 14)]
 
@@ -37,7 +39,7 @@ def pose_decision(points: DataFrame, key: str, ok: str) -> DataFrame:
     )
     head = F.col("ok") & (F.col("nose") | (F.col("n_head") >= 2))
     body = F.col("ok") & ((F.col("n_body") >= 2) | (F.col("neck") & F.col("tail")))
-    decision = F.when(head & body, "head_and_body_candidate").when(head, "head_candidate").when(body, "body_candidate").when(F.col("ok"), "low_pose_utility").otherwise("pose_failed")
+    decision = F.when(head & body, DECISIONS[0]).when(head, DECISIONS[1]).when(body, DECISIONS[2]).when(F.col("ok"), DECISIONS[3]).otherwise(DECISIONS[4])
     return counts.withColumn("decision", decision)
 
 

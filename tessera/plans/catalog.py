@@ -67,30 +67,61 @@ def cascade_verify_select(spark, sf_dir):
     return similarity.best_pairs(vectors(spark, sf_dir).drop("name"), 15, differ=5).drop("rank")
 
 
-@query(f"""{COSINES}, q AS (SELECT a, b, cosine, a * 10000000 + b AS pair FROM p WHERE a < b AND cosine >= {EDGE}),
-    s AS (SELECT pair, a, b, a // 5 = b // 5 AS differ, greatest(0, least(1, cosine)) AS vision,
+RECIPES_SQL = f"""{COSINES}, q AS (SELECT a, b, cosine, a * 10000000 + b AS pair FROM p WHERE a < b AND cosine >= {EDGE}),
+    s AS (SELECT pair, a, b, a // 5 = b // 5 AS differ, CASE WHEN pair % 7 <> 0 THEN greatest(0, least(1, cosine)) END AS vision,
         CASE WHEN pair % 3 <> 0 THEN greatest(0, least(1, 1 - abs(x.p_retailprice - y.p_retailprice) / 400)) END AS points,
         CASE WHEN pair % 4 <> 0 THEN greatest(0, least(1, 1 - abs(x.p_size - y.p_size) / 15.0)) END AS measure
       FROM q JOIN part x ON x.p_partkey = a + 1 JOIN part y ON y.p_partkey = b + 1),
     f AS (SELECT *, coalesce(0.7 * points + 0.3 * vision, points, vision) AS base FROM s),
-    g AS (SELECT pair, a, b, CASE WHEN NOT differ THEN round(base + 1e-9, 6) END AS fusion,
-        CASE WHEN NOT differ THEN round(greatest(0, least(1, base + CASE WHEN measure >= 0.8 THEN 0.05 WHEN measure >= 0.5 THEN 0.02 WHEN measure <= 0.05 THEN -0.12 WHEN measure <= 0.25 THEN -0.06 ELSE 0 END)) + 1e-9, 6) END AS fusion_measures,
-        CASE WHEN NOT differ THEN round(measure + 1e-9, 6) END AS measures, differ FROM f)
-    SELECT pair, a, b, fusion, fusion_measures, measures,
-      CASE WHEN differ THEN 'blocked' WHEN fusion IS NULL THEN 'unranked' WHEN fusion >= 0.8 THEN 'top' WHEN fusion >= 0.65 THEN 'candidate' WHEN fusion >= 0.5 THEN 'weak' ELSE 'low' END AS bucket,
-      CASE WHEN differ THEN 'blocked' WHEN measures IS NULL THEN 'unranked' WHEN measures >= 0.8 THEN 'measures_top' WHEN measures >= 0.5 THEN 'measures_candidate' WHEN measures > 2e-9 THEN 'measures_weak' ELSE 'measures_low' END AS measures_bucket
-    FROM g""")
+    h AS (SELECT *, CASE WHEN base IS NULL THEN measure ELSE greatest(0, least(1, base + CASE WHEN measure >= 0.8 THEN 0.05 WHEN measure >= 0.5 THEN 0.02 WHEN measure <= 0.05 THEN -0.12 WHEN measure <= 0.25 THEN -0.06 ELSE 0 END)) END AS adjusted FROM f),
+    g AS (SELECT pair, a, b, differ, {", ".join(f"CASE WHEN NOT differ THEN round({c} + 1e-9, 6) END AS {n}" for n, c in (("dino", "vision"), ("lightglue", "points"), ("metrics", "measure"), ("fusion", "base"), ("fusion_metrics", "adjusted")))},
+      CASE WHEN differ THEN 'blocked_by_known_different_copresence' WHEN base IS NOT NULL THEN 'recipe_fusion_metrics:' || CASE WHEN points IS NOT NULL AND vision IS NOT NULL THEN 'base_0_70_lightglue_0_30_dino' WHEN points IS NOT NULL THEN 'base_lightglue_only' ELSE 'base_dino_only' END || ':' ||
+        CASE WHEN measure IS NULL THEN 'no_metric_adjustment_missing_or_partial' WHEN measure >= 0.8 THEN 'small_metric_boost_compatible' WHEN measure >= 0.5 THEN 'tiny_metric_boost_moderately_compatible' WHEN measure <= 0.05 THEN 'metric_penalty_large_bill_px_difference'
+          WHEN measure <= 0.25 THEN 'metric_penalty_low_bill_px_similarity' ELSE 'no_metric_adjustment_ambiguous' END
+        WHEN measure IS NOT NULL THEN 'recipe_fusion_metrics_metric_only_fallback_provisional' ELSE 'recipe_fusion_metrics_missing_all_scores' END AS source FROM h),
+    k AS (SELECT *, {", ".join(f"CASE WHEN differ THEN 'blocked_known_different_copresence' WHEN {n} IS NULL THEN 'unranked_missing_recipe_inputs' WHEN {n} >= 0.8 THEN 'review_top_candidate' WHEN {n} >= 0.65 THEN 'review_candidate' WHEN {n} >= 0.5 THEN 'review_weak_candidate' ELSE 'low_priority_candidate' END AS {b}" for n, b in (("fusion", "bucket"), ("fusion_metrics", "adjusted_bucket")))},
+      CASE WHEN differ THEN 'blocked_known_different_copresence' WHEN metrics IS NULL THEN 'unranked_missing_recipe_inputs' WHEN metrics >= 0.8 THEN 'metrics_review_top_candidate' WHEN metrics >= 0.5 THEN 'metrics_review_candidate' WHEN metrics > 2e-9 THEN 'metrics_review_weak_candidate' ELSE 'metrics_low_priority_candidate' END AS metrics_bucket FROM g)"""
+
+
+@query(f"{RECIPES_SQL} SELECT pair, a, b, dino, lightglue, metrics, fusion, fusion_metrics, source, bucket, adjusted_bucket, metrics_bucket FROM k")
 def fusion_recipes(spark, sf_dir):
+    """All five recipes, with every kind of missing evidence."""
     pairs = similarity.pairs_above(vectors(spark, sf_dir).drop("name"), EDGE).withColumn("pair", F.col("a") * 10_000_000 + F.col("b"))
     part = read(spark, sf_dir, "part")
     side = lambda n: part.select((F.col("p_partkey") - 1).alias(n), F.col("p_retailprice").alias(f"price_{n}"), F.col("p_size").alias(f"size_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = F.floor(F.col("a") / 5) == F.floor(F.col("b") / 5)
+    vision = F.when(F.col("pair") % 7 != 0, F.col("cosine"))
     points = F.when(F.col("pair") % 3 != 0, 1 - F.abs(F.col("price_a") - F.col("price_b")) / 400)
     measure = F.when(F.col("pair") % 4 != 0, fusion.measure_likeness(F.abs(F.col("size_a") - F.col("size_b"))))
-    scores = {r: F.round(fusion.recipe_score(r, F.col("cosine"), points, measure, differ) + 1e-9, 6) for r in ("fusion", "fusion_measures", "measures")}
-    scored = both.withColumns(scores)
-    return scored.select("pair", "a", "b", *scores, fusion.review_bucket("fusion", F.col("fusion"), differ).alias("bucket"), fusion.review_bucket("measures", F.col("measures"), differ).alias("measures_bucket"))
+    scores = {r.replace("-", "_"): F.round(fusion.recipe_score(r, vision, points, measure, differ) + 1e-9, 6) for r in fusion.RECIPES}
+    scored = both.withColumns(scores | {"source": fusion.recipe_source("fusion-metrics", vision, points, measure, differ)})
+    buckets = {b: fusion.review_bucket(r, F.col(r.replace("-", "_")), differ) for b, r in (("bucket", "fusion"), ("adjusted_bucket", "fusion-metrics"), ("metrics_bucket", "metrics"))}
+    return scored.withColumns(buckets).select("pair", "a", "b", *scores, "source", *buckets)
+
+
+@query(f"""{RECIPES_SQL}, c AS (SELECT adjusted_bucket AS b, count(*) AS n FROM k GROUP BY 1) SELECT count(fusion_metrics) AS ranked, max(fusion_metrics) AS top_score, (SELECT string_agg(b || ':' || n, ';' ORDER BY b) FROM c) AS buckets FROM k""")
+def fusion_counts(spark, sf_dir):
+    return fusion.bucket_counts(fusion_recipes(spark, sf_dir), "adjusted_bucket", "fusion_metrics")
+
+
+#: The least score of an edge: low enough that buckets refuse some.
+LEAST_EDGE = 0.45
+
+
+@query(f"""{RECIPES_SQL.replace("WITH e", "WITH RECURSIVE e")}, d AS MATERIALIZED (SELECT pair, a, b, differ, fusion_metrics AS score, CASE WHEN differ THEN 'blocked_known_different_copresence' WHEN fusion_metrics IS NULL THEN 'not_used_missing_fusion_score' WHEN fusion_metrics < {LEAST_EDGE} THEN 'not_used_below_cluster_threshold_{LEAST_EDGE:.3f}'
+      WHEN adjusted_bucket = 'low_priority_candidate' THEN 'not_used_bucket_low_priority_candidate' ELSE 'eligible_fusion_edge' END AS reason FROM k),
+    l AS MATERIALIZED (SELECT a, b, pair, row_number() OVER (ORDER BY score DESC, pair) AS n FROM d WHERE reason = 'eligible_fusion_edge'), kd AS MATERIALIZED (SELECT coalesce(list({{'a': a, 'b': b}}), []) AS l FROM d WHERE differ),
+    r(n, pair, a, decision, roots) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, range(0, (SELECT max(id) + 1 FROM e)) UNION ALL
+      SELECT n, pair, a, decision, CASE WHEN decision = 'used' THEN list_transform(roots, lambda x: CASE WHEN x = high THEN low ELSE x END) ELSE roots END FROM (
+        SELECT *, CASE WHEN len(list_filter(apart, lambda p: roots[p.a + 1] IN (low, high) AND roots[p.b + 1] IN (low, high))) > 0 THEN 'blocked' WHEN low = high THEN 'already_connected' ELSE 'used' END AS decision FROM (
+          SELECT l.n, l.pair, l.a, roots, kd.l AS apart, least(roots[l.a + 1], roots[l.b + 1]) AS low, greatest(roots[l.a + 1], roots[l.b + 1]) AS high FROM r JOIN l ON l.n = r.n + 1, kd)))
+    SELECT d.pair, d.a, d.b, coalesce(r.decision, 'not_used') AS decision, CASE r.decision WHEN 'blocked' THEN 'blocked_would_merge_known_different_members' WHEN 'already_connected' THEN 'same_existing_cluster' ELSE d.reason END AS reason,
+      CASE WHEN r.decision IS NOT NULL THEN (SELECT roots FROM r ORDER BY n DESC LIMIT 1)[d.a + 1] END AS root FROM d LEFT JOIN r ON r.pair = d.pair""")
+def cluster_decisions(spark, sf_dir):
+    """From recipe to cluster: every pair gets its decision and the reason for it."""
+    scored = fusion_recipes(spark, sf_dir).withColumns({"score": F.col("fusion_metrics"), "differ": F.floor(F.col("a") / 5) == F.floor(F.col("b") / 5)}).withColumnRenamed("bucket", "plain").withColumnRenamed("adjusted_bucket", "bucket")
+    return clusters.decided(vectors(spark, sf_dir).select("id"), scored, LEAST_EDGE)
 
 
 LINES = "SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 13 + l_linenumber AS id, l_orderkey::VARCHAR AS frame, l_linenumber::VARCHAR AS animal FROM lineitem"

@@ -41,8 +41,8 @@ def keypoint_records(spark, sf_dir):
 
 @query(f"""WITH {POINTS_SQL}, c AS (SELECT vec_id, count(*) FILTER (visible AND keypoint IN (0, 1, 2, 3)) AS n_head, count(*) FILTER (visible AND keypoint IN (3, 4, 5, 8, 11, 14)) AS n_body, bool_or(ok) AS ok,
       bool_or(visible AND keypoint = 2) AS nose, bool_or(visible AND keypoint = 3) AS neck, bool_or(visible AND keypoint = 4) AS tail FROM seen GROUP BY vec_id)
-    SELECT *, CASE WHEN NOT ok THEN 'pose_failed' WHEN (nose OR n_head >= 2) AND (n_body >= 2 OR (neck AND tail)) THEN 'head_and_body_candidate' WHEN nose OR n_head >= 2 THEN 'head_candidate'
-      WHEN n_body >= 2 OR (neck AND tail) THEN 'body_candidate' ELSE 'low_pose_utility' END AS decision FROM c""")
+    SELECT *, CASE WHEN NOT ok THEN 'mmpose_failed' WHEN (nose OR n_head >= 2) AND (n_body >= 2 OR (neck AND tail)) THEN 'dlc_billtip_and_smart_cropper_candidate' WHEN nose OR n_head >= 2 THEN 'dlc_billtip_candidate'
+      WHEN n_body >= 2 OR (neck AND tail) THEN 'smart_cropper_candidate' ELSE 'mmpose_ok_but_low_pose_utility' END AS decision FROM c""")
 def pose_decision(spark, sf_dir):
     return pose.pose_decision(poses(spark, sf_dir), "vec_id", "ok")
 
@@ -135,11 +135,11 @@ def quality_summary(spark, sf_dir):
     return rounded(out, "lowest", "highest")
 
 
-@query(f"""WITH {ENDS} SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'prediction_not_ok' WHEN vec_id % 13 = 0 THEN 'decision_not_ready' WHEN tx IS NULL THEN 'length_missing' WHEN tp < 0.1 THEN 'tip_likelihood_low' WHEN bp < 0.1 THEN 'base_likelihood_low'
-    WHEN vec_id % 17 = 0 THEN 'crop_not_written' ELSE 'ready' END AS reason FROM p""")
+@query(f"""WITH {ENDS} SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'dlc_prediction_ok is false' WHEN vec_id % 13 = 0 THEN 'dlc_billtip_decision=waiting' WHEN tx IS NULL THEN 'missing or non-positive dlc_bill_length_px' WHEN tp < 0.1 THEN 'bill_tip_likelihood below 0.10' WHEN bp < 0.1 THEN 'bill_base_likelihood below 0.10'
+    WHEN vec_id % 17 = 0 THEN 'head_bill_crop not written' ELSE 'metric-ready debug bill length' END AS reason FROM p""")
 def length_eligibility(spark, sf_dir):
     v, length = F.col("vec_id"), F.hypot(F.col("tx") - F.col("bx"), F.col("ty") - F.col("by"))
-    reason = quality.length_eligibility(v % 11 != 0, F.when(v % 13 == 0, "waiting").otherwise("evidence_ready"), length, F.col("tp"), F.col("bp"), v % 17 != 0)
+    reason = quality.length_eligibility(v % 11 != 0, F.when(v % 13 == 0, "waiting").otherwise(quality.EVIDENCE_READY), length, F.col("tp"), F.col("bp"), v % 17 != 0)
     return ends(spark, sf_dir).select("vec_id", reason.alias("reason"))
 
 

@@ -69,8 +69,8 @@ def test_likelihoods_and_reasons(spark):
     found = quality.labeled_length(F.lit(0.0), F.lit(0.0), F.col("p"), F.col("x"), F.lit(1.0), F.col("q"))
     got = spark.createDataFrame(rows, "x double, p double, q double").select(*(c.alias(n) for n, c in found.items())).collect()
     assert [(r["band"], r["present"], r["eligible"], r["review"]) for r in got] == [("strong", True, True, True), ("strong", False, False, False), ("very_weak_review", True, False, False)]
-    reason = quality.length_eligibility(F.lit(True), F.lit("evidence_ready"), F.col("x"), F.col("p"), F.col("q"), F.lit(True))
-    assert values(spark, reason, [(1.0, None, None), (0.0, 0.9, 0.9), (1.0, 0.09, 0.9), (1.0, 0.1, 0.09)], "x double, p double, q double") == ["ready", "length_missing", "tip_likelihood_low", "base_likelihood_low"]
+    reason = quality.length_eligibility(F.lit(True), F.lit(quality.EVIDENCE_READY), F.col("x"), F.col("p"), F.col("q"), F.lit(True))
+    assert values(spark, reason, [(1.0, None, None), (0.0, 0.9, 0.9), (1.0, 0.09, 0.9), (1.0, 0.1, 0.09)], "x double, p double, q double") == [quality.READY, *(quality.REFUSED[k] for k in ("length", "tip", "base"))]
 
 
 def test_matches_without_scores(spark):

@@ -60,7 +60,7 @@ def test_plane(spark):
 def test_recipes(spark, vision, points, measure, fused, with_measure):
     df = spark.createDataFrame([(vision, points, measure)], "v double, p double, m double")
     of = lambda r, d=False: fusion.recipe_score(r, F.col("v"), F.col("p"), F.col("m"), F.lit(d))
-    row = df.select(of("fusion"), of("fusion_measures"), of("fusion", True)).first()
+    row = df.select(of("fusion"), of("fusion-metrics"), of("fusion", True)).first()
     assert row[0] == (None if fused is None else pytest.approx(fused)) and row[1] == pytest.approx(with_measure) and row[2] is None
 
 
