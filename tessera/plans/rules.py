@@ -23,7 +23,7 @@ def as_sql(table: str, columns: dict[str, str]) -> str:
 
 def pick(number: str, *values: str) -> str:
     """The value whose place the number has, modulo how many there are."""
-    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
 
 
 #: Digits of dates and times, some of them none: month 13 and 14, day 31 of short months, hours from 24.
