@@ -10,7 +10,8 @@ EPS = 1e-9
 
 def inside(x: Column, y: Column, width: Column, height: Column) -> Column:
     """Edges count as inside; null if anything is missing."""
-    return (x >= 0) & (y >= 0) & (x <= width) & (y <= height)
+    known = x.isNotNull() & y.isNotNull() & width.isNotNull() & height.isNotNull()
+    return F.when(known, (x >= 0) & (y >= 0) & (x <= width) & (y <= height))
 
 
 def outside_by(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -32,6 +33,21 @@ def visible_share(x: Column, y: Column, to_x: Column, to_y: Column, width: Colum
     return F.least(F.array_min(hits), F.when(F.size(hits) > 0, F.lit(1.0)))
 
 
+def edge_met(x: Column, y: Column, to_x: Column, to_y: Column, width: Column, height: Column) -> Column:
+    """Where the way from a point inside to another one meets the box's edge first, as (t, x, y): t is its share of the way and may pass 1. Null if it never does."""
+
+    def meet(start: Column, step: Column, edge: Column, other: Column, other_step: Column, most: Column, upright: bool) -> Column:
+        t = F.try_divide(edge - start, step)
+        across = other + t * other_step
+        along = F.least(F.greatest(across, F.lit(0.0)), most)
+        point = F.struct(t.alias("t"), *((edge.alias("x"), along.alias("y")) if upright else (along.alias("x"), edge.alias("y"))))
+        return F.when((F.abs(step) > 1e-12) & (t > EPS) & (across >= -1e-6) & (across <= most + 1e-6), point)
+
+    dx, dy, zero = to_x - x, to_y - y, F.lit(0.0)
+    met = F.array(meet(x, dx, zero, y, dy, height, True), meet(x, dx, width, y, dy, height, True), meet(y, dy, zero, x, dx, width, False), meet(y, dy, height, x, dx, width, False))
+    return F.array_min(F.array_compact(met))
+
+
 def axis_degrees(x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
     return F.degrees(F.atan2(to_y - y, to_x - x))
 

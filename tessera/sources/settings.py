@@ -55,13 +55,20 @@ def _nulls(part: object) -> int:
     return sum(v is None or v == [] or (isinstance(v, str) and not v.strip()) for v in values)
 
 
+#: What counts of missing values are called, per part of a profile.
+NULL_COUNTS = {"physical_dimensions_mm": "physical_dimensions_mm_null_count", "landmarks_front_image_px": "landmarks_front_image_px_empty_or_null_count", "landmarks_top_image_px": "landmarks_top_image_px_empty_or_null_count"}
+
+
 def profile_warnings(profile: dict) -> list[str]:
-    counts = {name: _nulls(profile.get(name)) for name in ("physical_dimensions_mm", "landmarks_front_image_px", "landmarks_top_image_px")}
-    out = [f"{name}: {n} values missing" for name, n in counts.items() if n]
+    missing = {label: _nulls(profile.get(name)) for name, label in NULL_COUNTS.items()}
+    out = [f"{label}={n}" for label, n in missing.items() if n]
     if profile.get("units", "mm") not in ("", "mm"):
-        out.append("units are not mm")
+        out.append("profile_units_not_mm")
+    estimates = profile.get("scale_estimates") or {}
+    if not (positive(estimates.get("front_px_per_mm")) or positive(estimates.get("px_per_mm"))):
+        out.append("scale_estimates.front_px_per_mm_missing")
     if profile.get("status") != "validated_calibration_profile":
-        out.append("profile is not validated")
+        out.append(f"profile_status_not_validated status={profile.get('status', '')}")
     return out
 
 
@@ -75,14 +82,12 @@ def calibrate(settings: dict[str, str], profile_text: str | None = None, px_per_
     ways = [(positive(px_per_mm), "given"), (from_settings[1], named(SOURCE_KEYS) or f"settings:{from_settings[0]}"), (from_profile, (profile or {}).get("profile_name") or "profile")]
     scale, source = next(((s, w) for s, w in ways if s), (None, (profile.get("profile_name") or "profile") if profile else "none"))
     warnings = profile_warnings(profile) if profile else []
-    if profile and not from_profile:
-        warnings.append("profile has no scale")
     if scale is None:
         return Calibration(None, "calibration_assets_found_but_no_px_per_mm" if profile else "uncalibrated_px_only", source, "none", warnings)
     state = named(STATE_KEYS) or CANDIDATE
     confidence = named(CONFIDENCE_KEYS) or ("validated" if state == VALIDATED else "provisional")
-    warnings += [f"scale not validated: {state}"] if state != VALIDATED else []
-    warnings += [f"confidence not validated: {confidence}"] if confidence != "validated" else []
+    warnings += [f"scale_not_validated state={state}"] if state != VALIDATED else []
+    warnings += [f"scale_confidence_not_validated confidence={confidence}"] if confidence != "validated" else []
     return Calibration(scale, state, source, confidence, list(dict.fromkeys(warnings)))
 
 

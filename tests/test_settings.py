@@ -18,7 +18,9 @@ def test_calibration_order():
     assert settings.calibrate({"px_per_mm": "5"}, profile).source == "settings:px_per_mm"
     got = settings.calibrate({"px_per_mm": "-1"}, profile)
     assert (got.px_per_mm, got.source, got.state, got.confidence) == (7.0, "p1", settings.CANDIDATE, "provisional")
-    assert got.warnings[:2] == ["physical_dimensions_mm: 2 values missing", "profile is not validated"]
+    assert got.warnings[:2] == ["physical_dimensions_mm_null_count=2", "profile_status_not_validated status=draft"]
+    assert got.warnings[2:] == [f"scale_not_validated state={settings.CANDIDATE}", "scale_confidence_not_validated confidence=provisional"]
+    assert settings.calibrate({}, '{"units": "cm", "landmarks_top_image_px": {"a": []}}').warnings == ["landmarks_top_image_px_empty_or_null_count=1", "profile_units_not_mm", "scale_estimates.front_px_per_mm_missing", "profile_status_not_validated status="]
     assert settings.calibrate({}).state == "uncalibrated_px_only"
     assert settings.calibrate({}, '{"profile_name": "p2"}').source == "p2"
     assert settings.calibrate({"px_per_mm": "2", "scale_state": settings.VALIDATED}).confidence == "validated"
