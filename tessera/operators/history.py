@@ -48,17 +48,18 @@ def renamed(rows: DataFrame, source: str, target: str, at: str, group: str = "mu
     return change._replace(action=change.action.where("crops > 0"))
 
 
-def autonamed(rows: DataFrame, at: str, status: str = "provisional", review: str = "auto") -> DataFrame:
+def autonamed(rows: DataFrame, at: str, status: str = "provisional", review: str = "auto", partly: bool = False) -> DataFrame:
     """Rows without an identity, in order of id, get the free names from the smallest number on; a review time that is there stays.
 
-    Names differ from row to row. An error if there are fewer free numbers than rows.
+    Names differ from row to row. If there are fewer free numbers than rows: an error, or partly: the first rows get
+    them, and the others stay as they are, waiting for a name.
     """
     blank = blank_to_null(F.col("identity")).isNull()
     waiting = numbered(rows.where(blank).select("id"), ["id"], "place")
     wanted = waiting.count()
     free = free_numbers(rows.select(auto_number(F.col("identity")).alias("n")).where("n is not null"), "n", wanted)
     names = numbered(free.select("number"), ["number"], "place").select("place", auto_name(F.col("number")).alias("given"))
-    if names.count() < wanted:
+    if not partly and names.count() < wanted:
         raise ValueError("no free number is left")
     given = waiting.join(names, "place").select("id", "given")
     put = lambda name, value: F.when(F.col("given").isNotNull(), value).otherwise(F.col(name))

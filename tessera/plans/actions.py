@@ -71,7 +71,7 @@ def rename_action(spark, sf_dir):
     SELECT id, coalesce(given, identity) AS identity, CASE WHEN given IS NULL THEN 'active' ELSE 'provisional' END AS identity_status, CASE WHEN given IS NULL THEN 'reviewed' ELSE 'auto' END AS review_status,
       CASE WHEN given IS NULL THEN reviewed_at ELSE coalesce(reviewed_at, 'now') END AS reviewed_at FROM c LEFT JOIN g USING (id)""")
 def autonamed_rows(spark, sf_dir):
-    return history.autonamed(_crops(spark, sf_dir), "now").drop("crop_path")
+    return history.autonamed(_crops(spark, sf_dir), "now", partly=True).drop("crop_path")
 
 
 OLDER = {"id": "event_id", "individual_name": pick("event_id", "'Ann'", "' '", TYPE, "NULL", "'ann'"), "name": pick("user_id", "'x'", "' Ann '", "'Ann'", "NULL", "''"), "identity_status": pick("event_id", "'active'", "'false_positive'", "NULL"),

@@ -149,3 +149,14 @@ def test_audit_of_empty_samples(spark):
     names = "sequence_id frame_id start_frame_index end_frame_index anchor_frame_index sequence_frames_planned sequence_frame_count_expected sequence_frames_selected_for_extraction sequence_frames_written source_frame_index offset_from_anchor_frames frame_selected_for_extraction frame_materialization_status output_frame_path"
     none = spark.createDataFrame([], "row long, " + ", ".join(f"{n} string" for n in names.split()))
     assert audit.sampling_issues(none, none.drop("start_frame_index", "end_frame_index"), none.select("row", "frame_id")).isEmpty()
+
+
+def test_names_run_out(spark):
+    """All numbers but two are taken: an error, or the first two rows get them and the third waits as it was."""
+    taken = spark.range(3, 100_000).select(F.col("id"), F.format_string("Bird%05d", "id").alias("identity"))
+    waiting = spark.createDataFrame([(100_001, " "), (100_002, None), (100_003, " ")], "id long, identity string")
+    rows = taken.union(waiting).select("*", F.lit("active").alias("identity_status"), F.lit("reviewed").alias("review_status"), F.lit(None).cast("string").alias("reviewed_at"))
+    with pytest.raises(ValueError):
+        history.autonamed(rows, "now")
+    got = history.autonamed(rows, "now", partly=True).where("id > 100000").orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [("Bird00001", "provisional", "auto", "now"), ("Bird00002", "provisional", "auto", "now"), (" ", "active", "reviewed", None)]
