@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.operators import similarity, tiles
 
 
@@ -63,3 +64,10 @@ def test_what_is_dealt_grows_with_the_table(spark, monkeypatch):
         assert blocks.agg(F.sum(F.length("vecs"))).first()[0] == n * 4 * 8
         counts.append(blocks.count())
     assert counts == [16, 16]
+
+
+def test_pairs_of_recipes_are_not_shuffled(spark):
+    """Prices and sizes come with the vectors; joining them to the pairs shuffled each pair twice."""
+    plan = entry.queries()["fusion_recipes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") > plan.index("FlatMapCoGroups") and plan.count("FlatMapCoGroups") == 1
+    assert "Join" not in plan[: plan.index("FlatMapCoGroups")]
