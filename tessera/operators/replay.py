@@ -26,9 +26,10 @@ def next_leave(asks: DataFrame, log: DataFrame, name: str, after: str, chunk: in
     at = F.floor(F.col("__at") / chunk)
     leaves = log.select(F.col("old").alias(name), F.col("entry").alias("__at"), F.col("entry").alias("__leave")).withColumn("__chunk", at)
     events = asks.withColumns({"__at": F.col(after), "__ask": F.lit(True)}).withColumn("__chunk", at).unionByName(leaves, allowMissingColumns=True)
-    inside = F.min("__leave").over(W.partitionBy(name, "__chunk").orderBy("__at").rangeBetween(1, W.unboundedFollowing))
+    # from the last entry backwards: a frame that only grows is summed up as it goes, one that only shrinks would be read anew for every row
+    inside = F.min("__leave").over(W.partitionBy(name, "__chunk").orderBy(F.col("__at").desc()).rangeBetween(W.unboundedPreceding, -1))
     firsts = events.groupBy(name, "__chunk").agg(F.min("__leave").alias("__first"))
-    behind = F.min("__first").over(W.partitionBy(name).orderBy("__chunk").rangeBetween(1, W.unboundedFollowing))
+    behind = F.min("__first").over(W.partitionBy(name).orderBy(F.col("__chunk").desc()).rangeBetween(W.unboundedPreceding, -1))
     later = firsts.withColumn("__later", behind).select(name, "__chunk", "__later")
     found = events.withColumn("__inside", inside).where("__ask").join(later, [name, "__chunk"], "left")
     return found.select(*asks.columns, F.coalesce("__inside", "__later").alias("next"))
