@@ -231,3 +231,10 @@ def test_scorers_fall_back(spark):
     assert got[0] == (6.0, "sum") and got[1] == (None, "sum") and got[2] == (None, "sum")
     with pytest.raises(Exception, match="no_such_library"):
         df.select(scorers.scored(scorers.Scorer("alone", missing, lambda model, a, b: a), F.col("a"), F.col("b")).alias("s")).collect()
+
+
+def test_next_entry_reads_no_partition_twice(spark):
+    """A frame up to the partition's end is summed up anew for every row: quadratic in the rows of a name."""
+    log = spark.range(100).select(F.col("id").alias("entry"), F.lit("a").alias("old"))
+    plan = replay.next_leave(spark.range(100).select("id", F.lit("a").alias("name"), F.col("id").alias("since")), log, "name", "since")
+    assert "unboundedfollowing" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
