@@ -281,3 +281,11 @@ def test_a_task_keeps_few_edges(spark, monkeypatch):
     assert thin.count() < 200
     roots = {r.id: r.root for r in clusters.components(spark.range(50), edges).collect()}
     assert all(roots[i] == (0 if i % 2 == 0 else 1 if i in (1, 3) else i) for i in range(50))
+
+
+def test_scores_are_not_written_out_in_each_other(spark):
+    """Written out in every recipe and bucket, the three inputs made code that the JVM no longer compiles."""
+    from tessera.plans import catalog
+
+    plan = catalog.fusion_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest(") <= 10
