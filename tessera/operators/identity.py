@@ -89,7 +89,7 @@ def assign_against_store(rows: DataFrame, threshold: float, version: str, exclud
     stored = F.col("identity").isNotNull()
     part = cut(rows.where((F.col("version") == version) & ~(stored & F.coalesce("status", F.lit("")).isin(*excluded))).select("id", "vec", "identity"))
     new = part.where("identity is null").select("id")
-    best = best_before(part.select("id", "vec"), threshold, asked=new)
+    best = cut(best_before(part.select("id", "vec"), threshold, asked=new))  # for the roots, and for what is given back
     roots = components(part.select("id"), best.where("match is not null").select(F.col("id").alias("a"), F.col("match").alias("b")))
     given = part.where("identity is not null").select(F.col("id").alias("root"), "identity")
     fresh = numbered(new.join(roots.where("id = root").select("id"), "id"), ["id"], "place")

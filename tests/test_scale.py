@@ -289,3 +289,13 @@ def test_scores_are_not_written_out_in_each_other(spark):
 
     plan = catalog.fusion_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("greatest(") <= 10
+
+
+def test_vectors_are_compared_once(spark, monkeypatch):
+    """What was found for the roots is not found again for the rows given back."""
+    found, whole = [], identity.best_before
+    monkeypatch.setattr(identity, "best_before", lambda *args, **kw: found.append(whole(*args, **kw)) or found[-1])
+    rows = spark.createDataFrame([(0, [1.0, 0.0], "Bird00001", "v", None), (1, [0.9, 0.1], None, "v", None), (2, [0.0, 1.0], None, "v", None)], "id long, vec array<double>, identity string, version string, status string")
+    out = identity.assign_against_store(rows, 0.5, "v")
+    assert {r.id: r.identity for r in out.collect()} == {1: "Bird00001", 2: "Bird00002"}
+    assert len(found) == 1 and "cogroup" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
