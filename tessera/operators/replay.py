@@ -2,11 +2,13 @@
 
 Each entry gives everything that goes by its old name the new one. What an entry did is changed again by the first later entry whose
 old name is its new one: so entries form a forest, each pointing at a later one, and following pointers to the end tells what
-became of a name. Pointers are doubled in rounds of joins, as many as the logarithm of the longest chain.
+became of a name. Inside of a chunk of the log a task follows them; from chunk to chunk pointers are doubled in rounds of joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,14 +38,44 @@ def next_leave(asks: DataFrame, log: DataFrame, name: str, after: str, chunk: in
 
 
 def became(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """entry and final: what the new name of each entry (entry, old, new) has become at the end of the log."""
-    links = cut(next_leave(log.select("entry", F.col("new").alias("final")), log, "final", "entry", chunk))
+    """entry and final: what the new name of each entry (entry, old, new) has become at the end of the log.
+
+    The log is cut into chunks of its numbers. Inside of one a task goes back from the end; what a chunk does as a whole is a row for each name that
+    it takes away, by the first entry that does. Only those rows are followed from chunk to chunk, by doubled pointers: the rounds are as many as the
+    logarithm of the chunks, however long the chain of entries is.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    schema = f"entry {kinds['entry']}, old {kinds['old']}, final {kinds['new']}, first boolean, chunk long"
+    walked = cut(log.select("entry", "old", "new", F.floor(F.col("entry") / chunk).cast("long").alias("chunk")).groupBy("chunk").applyInArrow(_walked_back, schema))
+    firsts = walked.where("first")
+    # a row per name and chunk at most: who goes by a name when a chunk ends, and which entry takes the name away in a chunk
+    names = walked.select("chunk", "final").distinct().withColumn("__leave", F.lit(None).cast(kinds["entry"]))
+    events = names.unionByName(firsts.select("chunk", F.col("old").alias("final"), F.col("entry").alias("__leave")))
+    behind = F.min("__leave").over(W.partitionBy("final").orderBy(F.col("chunk").desc()).rangeBetween(W.unboundedPreceding, -1))
+    hops = cut(events.withColumn("next", behind).where("__leave is null and next is not null").select("chunk", "final", "next"))
+    links = cut(join_counted(firsts.select("entry", "chunk", "final"), hops, ["chunk", "final"], ["entry"]).select("entry", "final", "next"))
     while not (open_ := links.where("next is not null")).isEmpty():
         further = links.select(F.col("entry").alias("next"), F.col("next").alias("__next"), F.col("final").alias("__final"))
         met = join_counted(open_, further, ["next"], ["entry"])  # many entries may wait for the same later one
         moved = met.select("entry", F.col("__final").alias("final"), F.col("__next").alias("next"))
         links = cut(moved.unionByName(links.where("next is null")))
-    return links.select("entry", "final")
+    ends = hops.join(links.select(F.col("entry").alias("next"), F.col("final").alias("__end")), "next").select("chunk", "final", "__end")
+    return join_counted(walked.select("entry", "chunk", "final"), ends, ["chunk", "final"], ["entry"]).select("entry", F.coalesce("__end", "final").alias("final"))
+
+
+def _walked_back(log: pa.Table) -> pa.Table:
+    """A chunk's entries with what their new name is when the chunk ends, and whether an entry is the first to take its old name away."""
+    log = log.sort_by([("entry", "descending")])
+    ends: dict = {}
+    takes: dict = {}
+    finals = []
+    for k, (old, new) in enumerate(zip(log["old"].to_pylist(), log["new"].to_pylist(), strict=True)):
+        final = ends.get(new, new)
+        finals.append(final)
+        ends[old], takes[old] = final, k
+    first = np.zeros(len(finals), dtype=bool)
+    first[list(takes.values())] = True
+    return pa.table({"entry": log["entry"], "old": log["old"], "final": pa.array(finals, log.schema.field("new").type), "first": first, "chunk": log["chunk"]})
 
 
 def replayed(rows: DataFrame, log: DataFrame, since: Column | None = None, until: int | None = None, blank: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:

@@ -101,6 +101,17 @@ def test_replay_equals_one_entry_after_another(spark, chunk=16):
         assert got == replayed_by_hand(rows, [e for e in log if until is None or e[0] <= until])
 
 
+def test_replay_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 3000 entries: pointers are only doubled from chunk to chunk, so what is staged doesn't grow with the chain."""
+    log = [(e, f"n{e % 5}", f"n{(e + 1) % 5}") for e in range(3000)]
+    rows = [(i, f"n{i % 6}", None if i % 4 == 0 else i * 31) for i in range(100)]
+    staged, cut = [], replay.cut
+    monkeypatch.setattr(replay, "cut", lambda df: staged.append(1) or cut(df))
+    got = replay.replayed(spark.createDataFrame(rows, "id long, name string, since long"), spark.createDataFrame(log, "entry long, old string, new string"), F.col("since"), chunk=1000)
+    assert {r.id: r.final for r in got.collect()} == replayed_by_hand(rows, log)
+    assert len(staged) <= 8
+
+
 def test_replay_of_a_hot_name(spark):
     """Every third entry gives or takes one name."""
     log = [(k, "hot" if k % 3 == 0 else f"a{k % 50}", f"a{k % 7}" if k % 3 == 0 else "hot") for k in range(3000)]
