@@ -26,10 +26,10 @@ def first_filled(df: DataFrame, aliases: list[str]) -> tuple[Column, Column]:
 
 def to_number(c: Column, infinite: bool = False, default: float | None = None) -> Column:
     """Text as double; unreadable text and NaN are missing, infinities too unless kept. Digits only as Python reads them: no 2.5d."""
-    text = F.regexp_replace(F.trim(c), r"(?<=\d)_(?=\d)", "")
-    value = F.when(~text.rlike(r"[dDfF]$") | F.lower(text).rlike(r"inf$"), text.try_cast("double"))
-    keep = ~F.isnan(value) if infinite else ~F.isnan(value) & (F.abs(value) < float("inf"))
-    value = F.when(keep, value)
+    text = F.trim(c)  # each step names the one before as seldom as it can: Spark may work it out anew each time
+    digits = F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+    value = F.when(~text.rlike(r"[dD]$|(?<![iI][nN])[fF]$"), digits.try_cast("double"))
+    value = F.nanvl(value, F.lit(None).cast("double")) if infinite else F.when(F.abs(value) < float("inf"), value)
     return F.coalesce(value, F.lit(default)) if default is not None else value
 
 

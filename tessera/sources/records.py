@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,8 @@ OLDER_KEYS = {
     "created_at": "created_at", "image_path": "image_path", "image_index": "image_index", "mmpose_bill_base_x": "bill_base_x", "mmpose_bill_base_y": "bill_base_y", "mmpose_bill_base_score": "bill_base_score", "clicked_tip_x": "clicked_tip_x", "clicked_tip_y": "clicked_tip_y",
     "old_v01_accepted": "accepted", "old_v01_bill_length_px": "bill_length_px", "old_v01_bill_angle_deg": "bill_angle_deg", "old_v01_nearest_candidate_method": "nearest_candidate_method", "old_v01_nearest_candidate_distance_px": "nearest_candidate_distance_px", "notes": "notes",
 }
+#: Fields that are made of others, never read.
+MADE = ("corrected_bill_length_px", "corrected_bill_angle_deg", "training_use", "is_premium_training_row")
 SAMPLER_KEYS = {"image_path": ("candidate_path", "image_path"), "image_index": ("evidence_rank",), "source_video_key": ("source_key", "source_video_key"), "frame_number": ("frame_number",), "time_sec": ("time_sec",), "sequence_id": ("sequence_id", "source_key"), "neighbor_count": ("neighbor_count",)}
 
 
@@ -95,18 +98,24 @@ def _there(record: Column, key: str) -> Column:
     return F.try_variant_get(record, f"$.{key}", "variant").isNotNull()
 
 
-def _text(record: Column, key: str) -> Column:
-    """A value as text; false, zero and what is empty are blank unless they are written as text."""
-    v = F.try_variant_get(record, f"$.{key}", "variant")
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v, "STRING") | ~text.rlike(r"^(-?0(\.0*)?|false|\[\]|\{\})$"), F.nullif(text, F.lit("")))
+def _read(record: Column, keys: Iterable[str]) -> Column:
+    """A record's values under some keys, each read once: whether it is there, as text, and whether it is written as text."""
+    told = lambda v: F.struct(v.isNotNull().alias("there"), F.try_variant_get(v, "$", "string").alias("text"), _kind(v, "STRING").alias("quoted"))
+    return F.struct(*(_let(F.try_variant_get(record, f"$.{k}", "variant"), told).alias(k) for k in dict.fromkeys(keys)))
 
 
-def _typed(record: Column, field: str, key: str) -> Column:
-    """A field's value by its kind, null where the kind's default stands."""
-    raw = F.try_variant_get(record, f"$.{key}", "string")
-    by_kind = {"boolean": F.lower(F.trim(raw)).isin(*TRUE_WORDS), "string": _text(record, key), "long": to_number(raw).try_cast("long"), "double": to_number(raw, infinite=True)}
-    return by_kind[KINDS[field]]
+def _text(r: Column, key: str) -> Column:
+    """A value read as text; false, zero and what is empty are blank unless they are written as text."""
+    text = r[key]["text"]
+    return F.when(r[key]["quoted"] | ~text.rlike(r"^(-?0(\.0*)?|false|\[\]|\{\})$"), F.nullif(text, F.lit("")))
+
+
+def _typed(r: Column, field: str, key: str) -> Column:
+    """A field's value by its kind, from what was read under the key, null where the kind's default stands."""
+    raw, kind = r[key]["text"], KINDS[field]
+    if kind == "boolean":
+        return F.lower(F.trim(raw)).isin(*TRUE_WORDS)
+    return _text(r, key) if kind == "string" else to_number(raw).try_cast("long") if kind == "long" else to_number(raw, infinite=True)
 
 
 def _older(r: Column) -> dict[str, Column]:
@@ -118,30 +127,36 @@ def _older(r: Column) -> dict[str, Column]:
 
 def _newer(r: Column) -> dict[str, Column]:
     """A field's own key counts if it is there, be it blank; without it the other key."""
-    made = ("corrected_bill_length_px", "corrected_bill_angle_deg", "training_use", "is_premium_training_row")
-    own = {f: _typed(r, f, f) for f in TRAINER_FIELDS if f not in made}
-    return own | {f: F.when(_there(r, f), own[f]).otherwise(_typed(r, f, k)) for f, k in OTHER_KEYS.items()}
+    own = {f: _typed(r, f, f) for f in TRAINER_FIELDS if f not in MADE}
+    return own | {f: F.when(r[f]["there"], own[f]).otherwise(_typed(r, f, k)) for f, k in OTHER_KEYS.items()}
 
 
 def _sampled(r: Column) -> dict[str, Column]:
     """Bases that a sampler wrote are not trusted."""
     out = {f: F.coalesce(*(_typed(r, f, k) for k in keys)) for f, keys in SAMPLER_KEYS.items()}
-    said = lambda k: F.coalesce(F.try_variant_get(r, f"$.{k}", "string"), F.when(_there(r, k), "None"), F.lit(""))
+    said = lambda k: F.coalesce(r[k]["text"], F.when(r[k]["there"], "None"), F.lit(""))
     note = F.concat(F.lit("sampler manifest import; bucket="), said("evidence_bucket"), F.lit("; rank="), said("evidence_rank"), F.lit("; score="), said("identity_evidence_score"))
     return out | {"best_bill_frame": F.lower(_text(r, "evidence_bucket")) == "best", "notes": note}
 
 
-def _row(df: DataFrame, record: Column, layouts: dict[str, Callable[[Column], dict[str, Column]]], carried: list[str], now: str) -> DataFrame:
+def _row(df: DataFrame, record: Column, layouts: dict[str, tuple[list[str], Callable[[Column], dict[str, Column]]]], carried: list[str], now: str) -> DataFrame:
     """One schema from the layouts: a field is its layout's value, else its kind's default; identity from the image's name and status from points and label are filled in.
 
+    A layout is its keys, which are read once each, and what makes fields of them; without keys it gets the record as it is.
     The fields are read inside of one lambda: as columns of their own they would outgrow what Spark compiles into one class.
     """
-    def fields(r: Column) -> Column:
-        of = {name: layout(r) for name, layout in layouts.items()}
-        found = {f: [F.when(F.col("layout") == name, values[f]) for name, values in of.items() if f in values] for f in TRAINER_FIELDS}
-        return F.struct(*(F.coalesce(*found[f], F.lit(DEFAULTS[KINDS[f]])).cast(KINDS[f]).alias(f) for f in TRAINER_FIELDS))
+    def filled(layout: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+        def fields(r: Column) -> Column:
+            found = layout(r)
+            return F.struct(*(F.coalesce(*([found[f]] if f in found else []), F.lit(DEFAULTS[KINDS[f]])).cast(KINDS[f]).alias(f) for f in TRAINER_FIELDS))
+
+        return fields
 
-    out = df.select(*carried, "n", "layout", _let(record, fields).alias("__row")).select(*carried, "n", "layout", "__row.*")
+    def whole_row(r: Column) -> Column:
+        made = [(F.col("layout") == name, _let(_read(r, keys) if keys else r, filled(layout))) for name, (keys, layout) in layouts.items()]
+        return reduce(lambda out, x: out.when(*x), made[1:], F.when(*made[0]))
+
+    out = df.select(*carried, "n", "layout", _let(record, whole_row).alias("__row")).select(*carried, "n", "layout", "__row.*")
     path = F.col("image_path")
     told = names.crop_name(path)
     bx, by, tx, ty = (F.col(c) for c in ("corrected_bill_base_x", "corrected_bill_base_y", "clicked_tip_x", "clicked_tip_y"))
@@ -164,7 +179,7 @@ def trainer_rows(records: DataFrame, carried: list[str], now: str) -> DataFrame:
     """
     r = F.col("record")
     newer = _there(r, NEWER_KEYS[0]) | _there(r, NEWER_KEYS[1]) | _there(r, NEWER_KEYS[2])
-    return _row(records.withColumn("layout", F.when(newer, "v02").otherwise("v01")), r, {"v01": _older, "v02": _newer}, carried, now)
+    return _row(records.withColumn("layout", F.when(newer, "v02").otherwise("v01")), r, {"v01": ([*OLDER_KEYS.values()], _older), "v02": ([*(f for f in TRAINER_FIELDS if f not in MADE), *OTHER_KEYS.values()], _newer)}, carried, now)
 
 
 def sampled_rows(records: DataFrame, document: str, now: str) -> DataFrame:
@@ -172,9 +187,9 @@ def sampled_rows(records: DataFrame, document: str, now: str) -> DataFrame:
 
     image_index counts a document's rows from 0 by rank (missing last), score down, source, frame, then place; documents of any size are numbered over all tasks.
     """
-    r = F.col("record")
-    df = records.withColumns({"layout": F.lit("sampler"), "__rank": F.coalesce(_typed(r, "image_index", "evidence_rank"), F.lit(10**9)), "__score": F.coalesce(to_number(F.try_variant_get(r, "$.identity_evidence_score", "string"), infinite=True), F.lit(-1.0))})
-    rows = _row(df.withColumn("__place", F.col("n")), r, {"sampler": _sampled}, [document, "__place", "__rank", "__score"], now)
+    r, sampler_keys = F.col("record"), [*(k for keys in SAMPLER_KEYS.values() for k in keys), "evidence_bucket", "identity_evidence_score"]
+    df = records.withColumns({"layout": F.lit("sampler"), "__rank": F.coalesce(to_number(F.try_variant_get(r, "$.evidence_rank", "string")).try_cast("long"), F.lit(10**9)), "__score": F.coalesce(to_number(F.try_variant_get(r, "$.identity_evidence_score", "string"), infinite=True), F.lit(-1.0))})
+    rows = _row(df.withColumn("__place", F.col("n")), r, {"sampler": (sampler_keys, _sampled)}, [document, "__place", "__rank", "__score"], now)
     kept = rows.where("image_path <> ''")
     placed = numbered(kept, [document, "__rank", F.col("__score").desc(), "source_video_key", "frame_number", "__place"], "__spot")
     starts = placed.groupBy(document).agg(F.min("__spot").alias("__first"))
@@ -185,4 +200,4 @@ def sampled_rows(records: DataFrame, document: str, now: str) -> DataFrame:
 def image_rows(images: DataFrame, path: str, now: str) -> DataFrame:
     """layout and TRAINER_FIELDS of crops that come as image files alone, numbered from 0 by path; repeated paths count once."""
     listed = numbered(images.select(F.col(path).alias("__path")).where("__path is not null").distinct(), ["__path"], "__spot").withColumn("n", F.col("__spot") - 1)
-    return _row(listed.withColumn("layout", F.lit("image")), F.col("__path"), {"image": lambda path: {"image_path": path, "notes": F.lit(CROP_ONLY_NOTE)}}, [], now)
+    return _row(listed.withColumn("layout", F.lit("image")), F.col("__path"), {"image": ([], lambda path: {"image_path": path, "notes": F.lit(CROP_ONLY_NOTE)})}, [], now)

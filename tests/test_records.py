@@ -49,3 +49,14 @@ def test_sampled_rows_by_rank(spark):
 def test_image_rows(spark):
     found = records.image_rows(spark.createDataFrame([("b-frame-000003.png",), ("a.png",), ("a.png",), (None,)], "path string"), "path", "now").orderBy("image_index").collect()
     assert [(r.image_index, r.source_row_index, r.image_path, r.frame_number, r.notes) for r in found] == [(0, 0, "a.png", -1, records.CROP_ONLY_NOTE), (1, 1, "b-frame-000003.png", 3, records.CROP_ONLY_NOTE)]
+
+
+def test_a_value_is_read_once(spark):
+    """However often a rule names it, so that a row takes no longer than its fields."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        found = records.trainer_rows(spark.sql("SELECT 0L AS n, parse_json('{}') AS record"), [], "now")
+        plan = found._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("$.gpt_confidence,") == plan.count("$.gpt_bill_base_x,") == 1
