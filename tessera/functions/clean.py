@@ -34,7 +34,7 @@ def to_number(c: Column, infinite: bool = False, default: float | None = None) -
 
 
 def to_whole(c: Column, half_even: bool = False) -> Column:
-    value = to_number(c)
+    value = to_number(c, infinite=True)  # infinities are no whole numbers either; left to the cast, the value is named once
     return (F.bround(value) if half_even else value).try_cast("long")
 
 

@@ -24,8 +24,8 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 
 def issues(df: DataFrame, id_: Column, rules: dict[str, Column]) -> DataFrame:
     """A row for each rule that a row of df breaks (its expression is true)."""
-    found = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
-    return df.select(id_.alias("id"), F.explode(found).alias("rule"))
+    found = F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items()))  # array_compact would be a lambda: Spark interprets it with all rules inside
+    return df.select(id_.alias("id"), F.explode(found).alias("rule")).where("rule is not null")
 
 
 def box_rules() -> dict[str, Column]:
@@ -54,10 +54,15 @@ def _coded(df: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
     return found.select(level.alias("level"), F.col("rule").alias("code"), F.col("id").cast("string").alias("id"))
 
 
-def _repeats(df: DataFrame, id_: str, code: str) -> DataFrame:
-    """An issue for each row of a filled id after its first."""
-    more = duplicates(df.where(f"{id_} <> ''"), [id_]).select(id_, F.explode(F.expr("sequence(2, copies)")).alias("n"))
-    return more.select(F.lit("error").alias("level"), F.lit(code).alias("code"), F.col(id_).cast("string").alias("id"))
+#: So many equal rows are listed at once.
+AT_ONCE = 4096
+
+
+def _times(df: DataFrame, n: str) -> DataFrame:
+    """(level, code, id) as errors, n times each; of no row more than AT_ONCE are held at once."""
+    lots = df.where(F.col(n) > 0).select("code", "id", F.col(n).alias("__n"), F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / AT_ONCE))).alias("__lot"))
+    each = lots.select("code", "id", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(AT_ONCE).cast("long"), F.col("__n") - F.col("__lot") * AT_ONCE))))
+    return each.select(F.lit("error").alias("level"), "code", F.col("id").cast("string").alias("id"))
 
 
 def sampling_issues(sequences: DataFrame, frames: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -87,6 +92,7 @@ def sampling_issues(sequences: DataFrame, frames: DataFrame, extracted: DataFram
 
     last = s.where(is_named).groupBy("sequence_id").agg(F.max_by(F.struct(start.alias("start"), end.alias("end"), planned.alias("planned")), "row").alias("sequence"))
     f = frames.withColumns({"frame_id": id_of("frame_id"), "sequence_id": id_of("sequence_id"), "output_frame_path": id_of("output_frame_path"), "frame_materialization_status": id_of("frame_materialization_status"), "chosen": to_flag(F.col("frame_selected_for_extraction"))} | whole("source_frame_index", "anchor_frame_index", "offset_from_anchor_frames"))
+    frames_read = f
     f = f.withColumn("who", named("frame_id")).join(last, "sequence_id", "left")
     at, offset, low, high = F.col("source_frame_index"), F.col("offset_from_anchor_frames"), F.col("sequence.start"), F.col("sequence.end")
     has_id, linked = F.col("frame_id") != "", F.col("sequence").isNotNull()
@@ -102,13 +108,17 @@ def sampling_issues(sequences: DataFrame, frames: DataFrame, extracted: DataFram
         "unselected_frame_written": fine & ~F.col("chosen") & cached,
     })
 
-    seen = f.where(has_id & linked).groupBy("sequence_id").agg(F.count("*").alias("seen"))
-    counted = last.join(seen, "sequence_id", "left")
-    of_counts = _coded(counted, "sequence_id", {"sequence_frame_count_mismatch": F.col("sequence.planned") != F.coalesce("seen", F.lit(0))})
+    seen = frames_read.where(has_id).groupBy("sequence_id").agg(F.count("*").alias("seen"))
+    counted = last.join(seen, "sequence_id", "left").where(F.col("sequence.planned") != F.coalesce("seen", F.lit(0)))
+    of_counts = counted.select(F.lit("error").alias("level"), F.lit("sequence_frame_count_mismatch").alias("code"), F.col("sequence_id").alias("id"))
 
     x = extracted.withColumn("frame_id", id_of("frame_id"))
-    x = x.withColumn("who", named("frame_id"))
-    of_extracted = _coded(x, "who", {"blank_extracted_frame_id": F.col("frame_id") == ""})
-    unknown = orphans(x.where(has_id), "frame_id", f.where(has_id), "frame_id").select(F.lit("error").alias("level"), F.lit("extracted_frame_not_in_sampled_frames").alias("code"), F.col("frame_id").alias("id"))
-    repeats = [_repeats(s, "sequence_id", "duplicate_sequence_id"), _repeats(f, "frame_id", "duplicate_frame_id"), _repeats(x, "frame_id", "duplicate_extracted_frame_id")]
-    return reduce(DataFrame.unionByName, [of_sequences, of_frames, of_counts, of_extracted, unknown, *repeats])
+    blank = x.where(~has_id).select(F.lit("error").alias("level"), F.lit("blank_extracted_frame_id").alias("code"), named("frame_id").alias("id"))
+    # Repeated ids, and those extracted that are in no frame, from one count of both tables' ids
+    ids = frames_read.where(has_id).select("frame_id", F.lit(1).alias("in_f"), F.lit(0).alias("in_x")).union(x.where(has_id).select("frame_id", F.lit(0), F.lit(1)))
+    counts = ids.groupBy("frame_id").agg(F.sum("in_f").alias("in_f"), F.sum("in_x").alias("in_x")).where("in_f > 1 or in_x > 1 or in_f = 0")
+    in_f, in_x = F.col("in_f"), F.col("in_x")
+    times = {"duplicate_frame_id": in_f - 1, "duplicate_extracted_frame_id": in_x - 1, "extracted_frame_not_in_sampled_frames": F.when(in_f == 0, in_x).otherwise(0)}
+    of_ids = counts.select(F.col("frame_id").alias("id"), F.inline(F.array(*(F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in times.items()))))
+    again = duplicates(s.where(is_named), ["sequence_id"]).select(F.lit("duplicate_sequence_id").alias("code"), F.col("sequence_id").alias("id"), (F.col("copies") - 1).alias("n"))
+    return reduce(DataFrame.unionByName, [of_sequences, of_frames, of_counts, blank, _times(of_ids, "n"), _times(again, "n")])

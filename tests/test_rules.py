@@ -102,6 +102,19 @@ def test_every_code_of_the_sampling_audit(spark):
     assert sorted(map(tuple, audit.sampling_issues(s, f, text([("",), ("f4",), ("f4",), ("f9",)], "frame_id")).collect())) == sorted(ISSUES)
 
 
+@pytest.mark.parametrize("at_once", [2, 4096])
+def test_repeated_ids_are_counted_once_and_listed_in_lots(spark, monkeypatch, at_once):
+    monkeypatch.setattr(audit, "AT_ONCE", at_once, raising=False)
+    s = spark.createDataFrame([(1, "s", "1", "9", "5", "5", "5", "0", "0")], "row long, sequence_id string, start_frame_index string, end_frame_index string, anchor_frame_index string, sequence_frames_planned string, sequence_frame_count_expected string, sequence_frames_selected_for_extraction string, sequence_frames_written string")
+    f = spark.range(6).selectExpr("id AS row", "CASE WHEN id < 5 THEN 'f' END AS frame_id", "'s' AS sequence_id", "'5' AS source_frame_index", "'5' AS anchor_frame_index", "'0' AS offset_from_anchor_frames", "'no' AS frame_selected_for_extraction", "'' AS frame_materialization_status", "'' AS output_frame_path")
+    found = audit.sampling_issues(s, f, spark.range(7).selectExpr("id AS row", "CASE WHEN id < 2 THEN 'f' WHEN id < 6 THEN 'g' END AS frame_id"))
+    assert {(r.code, r.id): r["count"] for r in found.groupBy("code", "id").count().collect()} == {
+        ("blank_frame_id", "row 5"): 1, ("blank_extracted_frame_id", "row 6"): 1, ("duplicate_frame_id", "f"): 4, ("duplicate_extracted_frame_id", "f"): 1, ("duplicate_extracted_frame_id", "g"): 3, ("extracted_frame_not_in_sampled_frames", "g"): 4,
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("Range (0, 6") + plan.count("Range (0, 7") == 5  # frames: rules, counts per sequence, ids; extracted: ids, blanks
+
+
 @pytest.mark.parametrize("last", [0, 1000])
 def test_merging_apart(spark, monkeypatch, last):
     """In rounds to the end, and with the last edges one after another."""
