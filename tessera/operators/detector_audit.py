@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.clean import blank_to_null, first_filled, to_flag, to_number, to_whole
+from tessera.operators.numbering import cut
 from tessera.operators.paths import tidy
-from tessera.operators.spread import join_counted
+from tessera.operators.spread import HEAVY_SHARE, join_counted, join_spread
 
 # Under which names fields are looked for, in this order.
 BOX_ALIASES = {
@@ -43,6 +44,8 @@ LEDGER_BYTES = [*CLAIM_ALIASES["crop_bytes"], "bytes_written"]
 SOURCES = ("manifest", "ledger")
 #: Box sides may differ by so many pixels, areas by these pixels or this share of what is recorded.
 SIDE_TOLERANCE, AREA_PIXELS, AREA_SHARE = 1.01, 2.0, 0.02
+#: Tables of so many rows (runs, unknown keys) are broadcast, larger ones shuffled.
+FEW_ROWS = 100_000
 
 
 def present(df: DataFrame, aliases: list[str]) -> Column:
@@ -57,7 +60,14 @@ def box(df: DataFrame) -> Column:
 
 def role(df: DataFrame) -> Column:
     """A detection's role: what it says itself (anything but ROLES is other), else by words in its class; unknown without either."""
-    said, named = F.lower(first_filled(df, DETECTION_ROLES)[0]), F.lower(first_filled(df, CLASS_NAMES)[0])
+    return _role_of(*_role_words(df))
+
+
+def _role_words(df: DataFrame) -> tuple[Column, Column]:
+    return F.lower(first_filled(df, DETECTION_ROLES)[0]), F.lower(first_filled(df, CLASS_NAMES)[0])
+
+
+def _role_of(said: Column, named: Column) -> Column:
     by_class = reduce(lambda out, r: F.when(_has(named, ROLE_WORDS[r]), r).otherwise(out), reversed(ROLE_WORDS), F.lit("other"))
     return F.when(said.isNotNull(), F.when(said.isin(*ROLES), said).otherwise("other")).when(named.isNotNull(), by_class).otherwise("unknown")
 
@@ -88,11 +98,13 @@ def crops_with_files(crops: DataFrame, files: DataFrame) -> DataFrame:
 def totals(inputs: DataFrame, results: DataFrame, detections: DataFrame, crops: DataFrame) -> DataFrame:
     """Counters per run over all tables (crops from crops_with_files): one aggregate over their union, summed up in every task first."""
     one = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-    found = role(detections)
+    said, named = _role_words(detections)
+    # Step by step: an expression that counters share would stand in each of them, in more code than Java compiles
+    found = detections.select("run", first_filled(detections, DETECTION_KEYS)[0].isNotNull().alias("detection_ids"), said.alias("said"), named.alias("named")).withColumn("role", _role_of(F.col("said"), F.col("named")))
     parts = [
         inputs.select("run", F.lit(1).alias("inputs"), one(first_filled(inputs, INPUT_KEYS)[0].isNotNull()).alias("input_ids")),
         results.select("run", F.lit(1).alias("results")),
-        detections.select("run", F.lit(1).alias("detections"), one(first_filled(detections, DETECTION_KEYS)[0].isNotNull()).alias("detection_ids"), *(one(found == r).alias(r) for r in ROLES)),
+        found.select("run", F.lit(1).alias("detections"), one(F.col("detection_ids")).alias("detection_ids"), *(one(F.col("role") == r).alias(r) for r in ROLES)),
         crops.select("run", F.lit(1).alias("crops"), F.coalesce("file_bytes", F.lit(0).cast("long")).alias("crop_bytes")),
     ]
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -101,18 +113,40 @@ def totals(inputs: DataFrame, results: DataFrame, detections: DataFrame, crops:
 
 def _found(df: DataFrame, id_: Column, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """(run, level, code, id) for each rule that a row breaks."""
-    broken = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for code, (level, c) in rules.items())))
-    return df.select("run", id_.cast("string").alias("id"), F.inline(broken)).select("run", "level", "code", "id")
+    broken = F.array(*(F.when(c, F.lit(code)) for code, (_, c) in rules.items()))  # array_compact would be a lambda: Spark interprets it with all rules inside
+    level = F.when(F.col("code").isin(*(code for code, (level, _) in rules.items() if level == "warning")), "warning").otherwise("error")
+    return df.select("run", id_.cast("string").alias("id"), F.explode(broken).alias("code")).where("code is not null").select("run", level.alias("level"), "code", "id")
+
+
+def _few(table: DataFrame, most: int) -> bool:
+    return table.limit(most + 1).count() <= most
 
 
-def _unknown_links(rows: DataFrame, link: Column, targets: DataFrame, counts: DataFrame, n: str, code: str) -> DataFrame:
-    """Rows whose filled link is no key of their run. Runs whose targets have no key at all are told as unverified, not here."""
-    known = targets.where("key is not null").distinct().withColumn("__known", F.lit(True))
-    asked = rows.select("run", blank_to_null(link.cast("string")).alias("key"), "id").where("key is not null")
-    lost = join_counted(asked.withColumn("__run", F.coalesce(F.col("run").cast("string"), F.lit(""))), known.withColumn("__run", F.coalesce(F.col("run").cast("string"), F.lit(""))).drop("run"), ["__run", "key"], ["id"]).where("__known is null")
-    keyed = counts.where(F.col(n) > 0).select(F.coalesce(F.col("run").cast("string"), F.lit("")).alias("__run"), F.lit(True).alias("__keyed"))
-    lost = join_counted(lost, keyed, ["__run"], ["key", "id"]).where("__keyed")
-    return lost.select("run", F.lit("error").alias("level"), F.lit(code).alias("code"), F.coalesce("id", "key").alias("id"))
+def _with_runs(rows: DataFrame, table: DataFrame, on: str, spread: list[str]) -> DataFrame:
+    """rows left-joined to a staged table with one row per run."""
+    return rows.join(F.broadcast(table), on, "left") if _few(table, FEW_ROWS) else join_counted(rows, table, [on], spread)
+
+
+def _run_key() -> Column:
+    """A run as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("run").cast("string")), F.lit(""))
+
+
+def _unknown_links(rows: DataFrame, link: Column, targets: DataFrame, counts: DataFrame, n: str, of: str, code: str) -> DataFrame:
+    """Rows whose filled link is no key of their run. Runs whose targets have no key at all are told as unverified, not here.
+
+    counts is staged; its column n tells how many keys a run's targets have, and of how many rows it has. Keys of both sides are
+    counted together first; then rows meet only the unknown keys, and known ones that very many rows have.
+    """
+    asked = rows.select(_run_key().alias("__run"), blank_to_null(link.cast("string")).alias("key"), "run", "id").where("key is not null")
+    known = targets.where("key is not null").select(_run_key().alias("__run"), "key", F.lit(0).alias("__n"), F.lit(1).alias("__known"))
+    keys = asked.select("__run", "key", F.lit(1).alias("__n"), F.lit(0).alias("__known")).union(known).groupBy("__run", "key").agg(F.sum("__n").alias("__n"), (F.max("__known") == 0).alias("__lost"))
+    many = (counts.agg(F.sum(of)).first()[0] or 0) // HEAVY_SHARE
+    keyed = counts.where(F.col(n) > 0).select(_run_key().alias("__run"), F.lit(True).alias("__keyed"))
+    lost = cut(_with_runs(keys.where((F.col("__n") > 0) & (F.col("__lost") | (F.col("__n") > many))), keyed, "__run", ["key"]).select("__run", "key", "__n", (F.col("__lost") & F.coalesce("__keyed", F.lit(False))).alias("__lost")))
+    on = ["__run", "key"]
+    met = asked.join(F.broadcast(lost.where("__lost").drop("__n")), on) if _few(lost, FEW_ROWS) else join_spread(asked, lost, on, "__n", ["id"]).where("__lost")
+    return met.select("run", F.lit("error").alias("level"), F.lit(code).alias("code"), F.coalesce("id", "key").alias("id"))
 
 
 def _of_boxes(detections: DataFrame) -> DataFrame:
@@ -131,7 +165,7 @@ def _of_boxes(detections: DataFrame) -> DataFrame:
 def _of_crops(crops: DataFrame, told: DataFrame) -> DataFrame:
     mode = F.lower(F.coalesce("manifest.mode", "ledger.mode"))
     modes = told.where(F.col("run").isNotNull()).select("run", (mode == "animal_preview").alias("__preview"))
-    rows = join_counted(crops, modes, ["run"], ["id", "path"])
+    rows = _with_runs(crops, modes, "run", ["id", "path"])
     there, preview = F.col("path").isNotNull() & F.col("file_bytes").isNotNull(), F.coalesce("__preview", F.lit(False))
     return _found(rows, F.coalesce("id", "path"), {
         "crop_path_missing": ("warning", F.col("path").isNull()),
@@ -176,24 +210,29 @@ def audited_runs(counts: DataFrame, told: DataFrame, files: DataFrame) -> DataFr
     return both.join(inventory, "__file", "left").drop("__file")
 
 
-def detector_issues(inputs: DataFrame, results: DataFrame, detections: DataFrame, crops: DataFrame, files: DataFrame, claims: DataFrame) -> DataFrame:
-    """Issues (run, level, code, id): a row for each fault of each row; issues of a run as a whole have a blank id, rows without an id a null one.
-
-    Links are checked by the first key column that detections or crops have. A coordinate that is no number is missing.
-    """
-    stored, told = crops_with_files(crops, files), claimed(claims)
-    counts = totals(inputs, results, detections, stored)
+def audited(inputs: DataFrame, results: DataFrame, detections: DataFrame, crops: DataFrame, files: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """detector_issues and totals of the same tables; what has a row per run is staged and worked out once."""
+    stored, told = crops_with_files(crops, files), cut(claimed(claims))
+    counts = cut(totals(inputs, results, detections, stored))
     parts = [_of_boxes(detections), _of_crops(stored, told)]
     link = next((c for c in INPUT_KEYS if c in detections.columns), None)
     if link:
         rows = detections.withColumn("id", first_filled(detections, ID_ALIASES)[0])
-        parts.append(_unknown_links(rows, F.col(link), inputs.select("run", first_filled(inputs, INPUT_KEYS)[0].alias("key")), counts, "input_ids", "detection_input_unknown"))
+        parts.append(_unknown_links(rows, F.col(link), inputs.select("run", first_filled(inputs, INPUT_KEYS)[0].alias("key")), counts, "input_ids", "detections", "detection_input_unknown"))
     crop_link = next((c for c in DETECTION_KEYS if c in crops.columns), None)
     if crop_link:
         rows = crops.withColumn("id", first_filled(crops, ID_ALIASES)[0])
-        parts.append(_unknown_links(rows, F.col(crop_link), detections.select("run", first_filled(detections, DETECTION_KEYS)[0].alias("key")), counts, "detection_ids", "crop_detection_unknown"))
+        parts.append(_unknown_links(rows, F.col(crop_link), detections.select("run", first_filled(detections, DETECTION_KEYS)[0].alias("key")), counts, "detection_ids", "crops", "crop_detection_unknown"))
     parts.append(_of_runs(audited_runs(counts, told, files), link is not None, crop_link is not None))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts), counts
+
+
+def detector_issues(inputs: DataFrame, results: DataFrame, detections: DataFrame, crops: DataFrame, files: DataFrame, claims: DataFrame) -> DataFrame:
+    """Issues (run, level, code, id): a row for each fault of each row; issues of a run as a whole have a blank id, rows without an id a null one.
+
+    Links are checked by the first key column that detections or crops have. A coordinate that is no number is missing.
+    """
+    return audited(inputs, results, detections, crops, files, claims)[0]
 
 
 def detector_report(issues: DataFrame, counts: DataFrame) -> DataFrame:

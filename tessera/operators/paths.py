@@ -21,7 +21,7 @@ def joined(root: Column, path: Column) -> Column:
 def tidy(path: Column) -> Column:
     """Slashes one way and single (a share keeps its two), and no dot as a part of its own."""
     slashes = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"(?<!^)/+", "/")
-    return F.regexp_replace(slashes, r"(?<=/)(\./)+", "")
+    return F.when(path.contains("\\") | path.contains("//") | path.contains("/./"), F.regexp_replace(slashes, r"(?<=/)(\./)+", "")).otherwise(path)
 
 
 def name_of(path: Column) -> Column:

@@ -64,3 +64,30 @@ def test_empty_tables_and_null_runs(tables):
     none = [t.withColumn("run", F.lit(None).cast("string")) for t in (inputs, results, detections, crops)]
     found = {r.code for r in audit.detector_issues(*none, files, claims.limit(0)).collect() if r.run is None}
     assert {"manifest_missing", "ledger_missing", "box_order", "detection_input_unknown", "crop_file_missing"} <= found
+
+
+def test_rules_are_compiled_and_roles_worked_out_once(tables):
+    inputs, results, detections, crops, files, claims = tables
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    issues, _ = audit.audited(*tables)
+    assert "lambda" not in plan(issues)
+    assert plan(audit.totals(inputs, results, detections, audit.crops_with_files(crops, files))).count("human") == 1
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_links_of_a_null_run_are_not_those_of_a_blank_one(spark, monkeypatch, few):
+    """By broadcast and by shuffle; a key that all rows have is among them."""
+    monkeypatch.setattr(audit, "FEW_ROWS", few)
+    inputs = spark.createDataFrame([("", "f1"), (None, "f2"), ("q", "f3")], "run string, frame_id string")
+    rows = [(None, "d1", "f1"), (None, "d2", "f2"), ("", "d3", "f1"), ("", "d4", "f2"), ("z", "d5", "f1"), *(("q", f"q{k}", "f3" if k % 2 else "lost") for k in range(40))]
+    detections = spark.createDataFrame(rows, "run string, detection_id string, frame_id string")
+    none = [spark.createDataFrame([], t) for t in ("run string", "run string, detection_id string, crop_path string", "path string, length long", "run string, source string, field string, value string")]
+    found = audit.detector_issues(inputs, none[0], detections, *none[1:]).where("code = 'detection_input_unknown'")
+    assert {(r.run, r.id) for r in found.collect()} == {(None, "d1"), ("", "d4"), *(("q", f"q{k}") for k in range(0, 40, 2))}
+    assert found.count() == 22
+
+
+def test_report_and_issues_agree(tables):
+    issues, counts = audit.audited(*tables)
+    report = {r.run: (r.errors, r.warnings) for r in audit.detector_report(issues, counts).collect()}
+    assert report == {run: tuple(sum(f[:2] == (run, level) for f in FOUND) for level in ("error", "warning")) for run in "abc"}
