@@ -116,7 +116,4 @@ def detector_issues(spark, sf_dir):
 @query(f"""{_tables_sql()}, found AS ({_issues_sql()}), levels AS (SELECT run, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM found GROUP BY run)
     SELECT t.*, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CASE WHEN coalesce(errors, 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM totals t LEFT JOIN levels USING (run)""")
 def detector_report(spark, sf_dir):
-    inputs, results, detections, crops, files, claims = detector_tables(spark, sf_dir)
-    issues = detector_audit.detector_issues(inputs, results, detections, crops, files, claims)
-    counts = detector_audit.totals(inputs, results, detections, detector_audit.crops_with_files(crops, files))
-    return detector_audit.detector_report(issues, counts)
+    return detector_audit.detector_report(*detector_audit.audited(*detector_tables(spark, sf_dir)))
