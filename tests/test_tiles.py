@@ -1,11 +1,13 @@
 """Tiles of packed blocks give what plain loops give, and what is shuffled grows with the table."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import similarity, tiles
+from tessera.operators import fusion, similarity, tiles
 
 
 def table(spark, x, **others):
@@ -71,3 +73,30 @@ def test_pairs_of_recipes_are_not_shuffled(spark):
     plan = entry.queries()["fusion_recipes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") > plan.index("FlatMapCoGroups") and plan.count("FlatMapCoGroups") == 1
     assert "Join" not in plan[: plan.index("FlatMapCoGroups")]
+
+
+@pytest.mark.parametrize("name", ["fusion_recipes", "fusion_counts"])
+def test_code_of_recipes_is_compiled(spark, name):
+    """HotSpot interprets methods of more than 8000 bytes; the one of these plans had 18632."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", code)]
+    assert sizes and 0 < max(sizes) < 8000
+
+
+def test_scores_in_steps_are_those_of_recipes(spark):
+    """Scores and sources worked out step by step are what recipe_score, recipe_source and round give one by one."""
+    some = [None, float("nan"), -0.5, 0.0, 0.05, 0.0500001, 0.1234565, 0.25, 0.3, 0.4999994, 0.5, 0.65, 0.8, 1.0, 1.7]
+    pairs = spark.createDataFrame([(v, p, m, d) for v in some for p in some for m in some for d in (False, True, None)], "v double, p double, m double, d boolean")
+    given = [F.col(c) for c in "vpmd"]
+    for c in "vpm":  # a number that is none counts as missing
+        pairs = pairs.withColumn(c, F.when(~F.isnan(c), F.col(c)))
+    got = fusion.recipe_scores(pairs, *given, "source")
+    same = [fusion.rounded(F.col(n.replace("-", "_"))).eqNullSafe(F.round(fusion.recipe_score(n, *given) + 1e-9, 6)) for n in fusion.RECIPES]
+    same.append(F.col("source").eqNullSafe(fusion.recipe_source("fusion-metrics", *given)))
+    assert got.count() == 3 * len(some) ** 3
+    assert got.select(*(F.sum(F.when(s, 0).otherwise(1)) for s in same)).first() == (0,) * len(same)
