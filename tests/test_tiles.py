@@ -100,3 +100,10 @@ def test_scores_in_steps_are_those_of_recipes(spark):
     same.append(F.col("source").eqNullSafe(fusion.recipe_source("fusion-metrics", *given)))
     assert got.count() == 3 * len(some) ** 3
     assert got.select(*(F.sum(F.when(s, 0).otherwise(1)) for s in same)).first() == (0,) * len(same)
+
+
+@pytest.mark.parametrize("shape", [(0, 5), (1, 1), (3, 5), (5, 7), (8, 8), (17, 100)])
+def test_places_of_what_is_true(shape):
+    for share in (0, 0.01, 0.5, 1):
+        mask = np.random.default_rng(2).random(shape) < share
+        assert all((got == there).all() and len(got) == len(there) for got, there in zip(tiles.pairs_of(mask), np.nonzero(mask), strict=True))
